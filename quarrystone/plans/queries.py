@@ -1,2 +1,50 @@
-QUERIES = {}
-SQL = {}
+"""The queries of the core over the tables of a data folder, and their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quarrystone.operators import snapshots
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return snapshots.snapshot_changes(table(spark, folder, "file_snapshots")).select("snapshot_no", "path", "change")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+}
+
+SQL: dict[str, str] = {
+    "p5_found": r"""
+with counted as (
+  select snapshot_no, loaded_at, repo,
+         trim(regexp_replace('/' || replace(path, '\', '/') || '/', '/(\.?/)+', '/', 'g'), '/') as path,
+         nullif(regexp_replace(lower(trim(content_hash)), '^sha256:', ''), '') as hash
+  from file_snapshots where path is not null),
+one as (
+  select * from counted
+  qualify row_number() over (partition by snapshot_no, path order by loaded_at desc, hash desc nulls last) = 1),
+held as (
+  select snapshot_no, repo, path,
+         last_value(hash ignore nulls) over (partition by path order by snapshot_no rows between unbounded preceding and current row) as hash
+  from one),
+deliveries as (
+  select repo, snapshot_no, lag(snapshot_no) over (partition by repo order by snapshot_no) as earlier
+  from (select distinct repo, snapshot_no from counted)),
+pairs as (
+  select d.snapshot_no, n.path as new_path, n.hash as new_hash, d.earlier, d.repo from deliveries d join held n using (repo, snapshot_no) where d.earlier is not null),
+olds as (
+  select d.snapshot_no, o.path as old_path, o.hash as old_hash from deliveries d join held o on o.repo = d.repo and o.snapshot_no = d.earlier)
+select coalesce(p.snapshot_no, o.snapshot_no) as snapshot_no, coalesce(new_path, old_path) as path,
+       case when old_path is null then 'added' when new_path is null then 'removed' else 'changed' end as change
+from pairs p full join olds o on p.snapshot_no = o.snapshot_no and new_path = old_path
+where old_path is null or new_path is null or new_hash <> old_hash
+""",
+}
