@@ -92,6 +92,9 @@ def block_neighbours(block: Block, params: NeighbourParams, tile: int = 768) ->
         rows, near = rows[live], near[live]
         if params.shared > 1:
             near[shared_weights(weights, block.lists, rows) < params.shared] = -2
+        homes = block.lists[rows, 0]
+        for home in np.unique(homes[homes != block.cell]):  # what these meet in their nearest pivot's file, they meet there
+            near[np.ix_(homes == home, (block.lists == home).any(axis=1))] = -2
         r, c = _top(near, params.k)
         left.append(rows[r])
         right.append(c)
@@ -135,8 +138,9 @@ def nearest_neighbours(df: DataFrame, ident: str = "id", vector: str = "vector",
     group of copies is gathered in a task. Other columns are not read, whatever their names.
     """
     k = params.k
-    every = members(df, ident, vector, params.pivots.dim)
-    first = every.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("n") <= k + 1)
+    # one shuffle by key serves both the first ids of each key and the last join; a limit pushed below it would undo that
+    every = members(df, ident, vector, params.pivots.dim).withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+    first = every.where(F.col("n") + F.lit(0) <= k + 1)
     heads = first.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     lists = key_neighbours(df, ident, vector, params)
     pairs = lists.select("key", F.explode("nbrs").alias("x")).select(F.col("x.nbr").alias("nbr"), "key", F.col("x.r").alias("r"))
