@@ -32,7 +32,7 @@ class ProvenanceParams:
     block: third-party files that are compared in one pass."""
 
     doubt: float = 0.12
-    threshold: float = 0.5
+    threshold: float = 0.7
     sample: int = 12_000
     trees: int = 40
     depth: int = 7
