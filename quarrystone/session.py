@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -26,12 +28,21 @@ def build_session(app: str = "quarrystone", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a temporary folder that is deleted at exit; on a cluster that is an error, as
+    no folder of one machine would do.
+    """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="quarrystone-"))
+        if not configured:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            configured = tempfile.mkdtemp(prefix="quarrystone-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        context.setCheckpointDir(configured)
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
 
