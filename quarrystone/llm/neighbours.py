@@ -31,9 +31,9 @@ class NeighbourParams:
     k: int = 5
     least: float = 0.8
     probes: int = 2
-    shared: int = 3
+    shared: int = 2
     digits: int = 6
-    pivots: PivotParams = PivotParams(prefix=5)
+    pivots: PivotParams = PivotParams(prefix=5, rows_per_pivot=1500)
 
 
 def shared_weights(weights: np.ndarray, lists: np.ndarray, rows: np.ndarray) -> np.ndarray:
