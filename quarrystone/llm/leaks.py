@@ -147,7 +147,8 @@ class Items:
             ahead = [0]
             for x in here:
                 ahead.append(ahead[-1] + x)
-            for length in sorted({least, (least + n) // 2, n}):
+            # a passage within its budget has shorter ones within the same: the least length of each budget finds them all
+            for length in (least, *range((least // p.budget + 1) * p.budget, n + 1, p.budget)):
                 k = length // p.budget
                 for s in range(n - length + 1):
                     if ahead[s + length] - ahead[s] >= length - k and within(item[s : s + length], region, k):

@@ -56,6 +56,40 @@ def test_search_against_brute_force():
         assert bool(ready.found(" ".join(doc))) == brute(item, doc)
 
 
+def test_search_tries_every_length_of_a_passage():
+    def whole(item, doc):
+        """Whether a run of any length from half of the item to all of it is within its budget of some run of the document."""
+        n = len(item)
+        for s in range(n // 2 + 1):
+            row = [0] * (len(doc) + 1)
+            for length, w in enumerate(item[s:], 1):
+                fresh = [length]
+                for j, d in enumerate(doc, 1):
+                    fresh.append(min(row[j] + 1, fresh[-1] + 1, row[j - 1] + (w != d)))
+                row = fresh
+                if length >= -(-n // 2) and min(row) <= length // 8:
+                    return True
+        return False
+
+    item = [f"w{i}" for i in range(40)]
+    passage = item[8:32]
+    passage[11:14] = ["other"] * 3
+    ready = leaks.Items([(1, " ".join(item))], leaks.LeakParams())
+    assert ready.found(" ".join(["x"] * 30 + passage + ["y"] * 30)) == [1]
+    rng = random.Random(3)
+    for n in (17, 40, 48, 70):
+        item = [f"w{i}" for i in range(n)]
+        ready = leaks.Items([(1, " ".join(item))], leaks.LeakParams())
+        for _ in range(60):
+            size = rng.randrange(n // 2 - 2, n + 1)
+            a = rng.randrange(n - size + 1)
+            passage = item[a : a + size]
+            for at in rng.sample(range(size), size // 8 + rng.randrange(2)):
+                passage[at] = rng.choice(["other", "", "more words"])
+            doc = " ".join(["x"] * rng.randrange(20) + passage + ["y"] * rng.randrange(20)).split()
+            assert bool(ready.found(" ".join(doc))) == whole(item, doc)
+
+
 def test_leaks_rows(spark):
     docs = spark.createDataFrame([(1, "before " + ITEM.upper(), "x"), (1, ITEM, None), (2, "nothing", "x"), (3, None, "x"), (4, "", "x"), (None, ITEM, "x"), (5, ITEM + " pad" * 50_000, "x")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([(7, ITEM, "a"), (7, ITEM, "b"), (8, None, "a"), (9, "", "a"), (10, "!!", "a")], "item_id long, text string, doc_id string")
