@@ -1,7 +1,7 @@
 """Files that nobody wrote by hand: output of programs, minified code, third-party copies, and data saved as code.
 
 A random forest judges the body of each file by its compression ratio, token entropy, identifier lengths, comment
-density and the like. It learns from labels that its features don't contain: notices in header comments, names that
+density and the like. It learns from labels that its features don't contain: notices in comments, names that
 build tools give, and bodies that are literals throughout; the notices are cut out before features are taken. What a
 notice, a name, a third party's folder or a third party's text says for itself counts beside the forest.
 """
@@ -63,13 +63,14 @@ NO_NOTICE = re.compile(r"maintained by hand|used to be|no longer|not generated|r
 LICENCE = re.compile(r"released under (?:its|their) own licen[cs]e|\bcopyright\b.{0,20}\bauthors\b|licensed under the|SPDX-License-Identifier|@license\b", re.I)
 BANNER = re.compile(r"^\s*/\*!?\s*[\w./@-]+\s+v?\d+\.\d+[\w.-]*")
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|0[xX][0-9A-Fa-f]+|\d[\d_.]*(?:[eE][+-]?\d+)?|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[^\w\s]")
+BLOCK = re.compile(r"^[ \t]*(?:/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z))", re.M | re.S)
 LINE_COMMENT = re.compile(r"^\s*(?://|#(?!include|define|if|endif|pragma)|\*|/\*|\*/|--|<!--)")
 
 
-def notice_lines(lines: list[str], most: int = 60) -> list[int]:
-    """Lines among the first ones that are comments and say that a program wrote the file."""
+def notice_lines(lines: list[str]) -> list[int]:
+    """Lines, wherever they are, that are comments and say that a program wrote the file."""
     found = []
-    for i, line in enumerate(lines[:most]):
+    for i, line in enumerate(lines):
         comment = COMMENT.match(line)
         if comment and NOTICE.search(comment[1]) and not NO_NOTICE.search(comment[1]):
             found.append(i)
@@ -81,11 +82,16 @@ def suffix(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
+def licensed(text: str) -> bool:
+    """Whether a comment, wherever it is and however long, names a licence."""
+    return any(LICENCE.search(m[0]) for m in BLOCK.finditer(text)) or any(LICENCE.search(x) for x in text.splitlines() if COMMENT.match(x))
+
+
 def third_party_place(path: str, text: str) -> bool:
     """In a package's folder below a folder for others' code (a file directly in such a folder needs a licence too)."""
     parts = path.split("/")
     at = next((i for i, p in enumerate(parts[:-1]) if i and p.lower() in OTHERS), None)
-    return at is not None and (at < len(parts) - 2 or bool(LICENCE.search(text[:600])))
+    return at is not None and (at < len(parts) - 2 or licensed(text))
 
 
 def ratio(raw: bytes, window: int = 2048) -> float:

@@ -230,3 +230,13 @@ def test_not_hand_written(spark):
     reasons = {r["path"]: r["reason"] for r in got}
     assert reasons["r/src/plain.ts"] == reasons["r/src/tight.js"] == "forest" and reasons["r/lib/copy.ts"] == "upstream"
     assert provenance.not_hand_written(files.limit(0), upstream).count() == 0 and provenance.not_hand_written(files, upstream.limit(0)).count() == len(found) - 1
+
+
+@pytest.mark.parametrize("lines", [5, 59, 61, 400])
+def test_notices_and_licences_count_whatever_the_length_of_the_file(lines):
+    code = [f"const a{i} = {i};" for i in range(lines)]
+    assert provenance.notice_lines([*code, "// @generated by stubwright v2.14"]) == [lines]
+    assert provenance.notice_lines([*code, "const B = 'Code generated by x. DO NOT EDIT.';"]) == []
+    header = "/*\n" + "".join(f" Part {i} of the notes\n" for i in range(lines))
+    assert provenance.third_party_place("r/vendor/a.ts", header + " Licensed under the X licence\n*/\n" + "\n".join(code))
+    assert not provenance.third_party_place("r/vendor/a.ts", header + "*/\n" + "\n".join(code))
