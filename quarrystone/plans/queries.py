@@ -146,7 +146,7 @@ def hop_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def pagerank(spark: SparkSession, folder: str) -> DataFrame:
     seeds = _file_scores(spark, folder).select("path", F.col("score").cast("double").alias("weight"))
-    ranks = graph.pagerank(table(spark, folder, "files"), staged(_edges(spark, folder), "edges"), seeds, rounds=5, tolerance=0.0)
+    ranks = graph.pagerank(table(spark, folder, "files"), staged(_edges(spark, folder), "edges"), seeds)
     return ranks.select("path", F.round("rank", 9).alias("rank"))
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators import graph
 from quarrystone.operators.components import connected_components
+from quarrystone.plans import queries
 
 
 def frames(spark, nodes, edges):
@@ -47,6 +49,31 @@ def test_pagerank_sums_to_one_and_seeds_pull(spark, seeds):
         assert max(got, key=got.get) == "a1" and got["x"] == 0
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_pagerank_query_goes_on_until_ranks_settle(spark):
+    folder = "/root/testdata/sf0.001"
+    nodes = {r["path"] for r in queries.table(spark, folder, "files").collect()}
+    edges = {(r["src"], r["dst"]) for r in queries._edges(spark, folder).collect()}
+    scores = {r["path"]: max(0.0, float(r["score"])) for r in queries._file_scores(spark, folder).collect()}
+    whole = sum(scores.values())
+    tele = {v: scores.get(v, 0.0) / whole for v in nodes}
+    steps = [(a, b, 1.0) for a, b in edges] + [(b, a, 0.5) for a, b in edges]
+    out = dict.fromkeys(nodes, 0.0)
+    for a, _, x in steps:
+        out[a] += x
+    rank, rounds = tele, 0
+    for rounds in range(1, 31):
+        got, loose = dict.fromkeys(nodes, 0.0), sum(rank[v] for v in nodes if not out[v])
+        for a, b, x in steps:
+            got[b] += rank[a] * x / out[a]
+        fresh = {v: 0.85 * (got[v] + loose * tele[v]) + 0.15 * tele[v] for v in nodes}
+        change, rank = sum(abs(fresh[v] - rank[v]) for v in nodes), fresh
+        if change < 1e-6:
+            break
+    found = {r["path"]: r["rank"] for r in queries.pagerank(spark, folder).collect()}
+    assert rounds > 5 and set(found) == nodes and all(abs(found[v] - rank[v]) < 2e-9 for v in nodes)
+
+
 def test_communities_separate_clusters(spark):
     nodes, edges = frames(spark, *TWO)
     got = {r["path"]: r["community"] for r in graph.communities(nodes, edges).collect()}
