@@ -27,13 +27,12 @@ from quarrystone.session import staged
 class TruncationParams:
     """prior: share of cut texts among those at no limit. pile: texts a limit has at least. excess: by how much they
     outnumber what the fitted distribution expects. sample: rows the ending model is fitted to at most (the counts it
-    uses cover all documents). window: lengths past a limit that a sign put after the cut may take."""
+    uses cover all documents)."""
 
     prior: float = 0.04
     pile: int = 8
     excess: float = 5.0
     sample: int = 20_000
-    window: int = 16
     seed: int = 7
 
 
@@ -236,15 +235,18 @@ def fit_censored(lengths: np.ndarray, n: np.ndarray, limits: list[int]) -> tuple
 
 
 def source_limits(hist: pd.DataFrame, params: TruncationParams) -> pd.DataFrame:
-    """``(key, limit, posterior)`` of one source from its lengths: piles that the fitted distribution can't explain."""
+    """``(key, limit, posterior)`` of one source from its ``(total, before, n)``: piles that the fitted distribution can't
+    explain. A text is in the pile of its length and, if it has the sign of a cut, in that of its length before it too."""
     key = hist["key"].iloc[0]
-    hist = hist.groupby("length", as_index=False)["n"].sum().sort_values("length")
-    lengths, n = hist["length"].to_numpy(), hist["n"].to_numpy()
-    total, limits, posterior = n.sum(), [], {}
+    total, before, texts = (hist[c].to_numpy() for c in ("total", "before", "n"))
+    signed = before != total
+    lengths, place = np.unique(np.concatenate([total, before[signed]]), return_inverse=True)
+    n = np.bincount(place, np.concatenate([texts, texts[signed]]))
+    limits, posterior = [], {}
     for _ in range(4):
-        mu, sigma = fit_censored(lengths, n, limits)
+        mu, sigma = fit_censored(np.where(np.isin(before, limits), before, total), texts, limits)
         x = np.log(np.maximum(lengths, 1).astype(float))
-        expected = total * np.exp(-((x - mu) ** 2) / (2 * sigma**2)) / (sigma * np.sqrt(2 * np.pi)) / np.maximum(lengths, 1)
+        expected = texts.sum() * np.exp(-((x - mu) ** 2) / (2 * sigma**2)) / (sigma * np.sqrt(2 * np.pi)) / np.maximum(lengths, 1)
         near = np.array([n[(np.abs(lengths - v) <= 25) & (lengths != v)].sum() / 50 for v in lengths[n >= params.pile]])
         heavy = lengths[n >= params.pile]
         usual = np.maximum(expected[n >= params.pile], near)
@@ -299,7 +301,8 @@ def scored(documents: DataFrame, ident: str = "doc_id", text: str = "text", sour
     judged = evidence.where("made = 0").select("id", *names).mapInArrow(judge, f"id {kind}, score double")
     real = lasts.where("made = 0")
     # limits: piles at the length of the text or of what is before the sign of a cut
-    hist = real.select(F.col("source").alias("key"), F.when(F.col("total") < 65536, F.col("total")).otherwise(F.pow(2.0, F.ceil(F.log2("total") * 8) / 8).cast("long")).alias("length")).groupBy("key", "length").agg(F.count("*").alias("n"))
+    before = F.when(F.col("signed"), F.col("base")).otherwise(F.col("total"))
+    hist = real.groupBy(F.col("source").alias("key"), "total", before.alias("before")).agg(F.count("*").alias("n"))
     limits = hist.groupBy("key").applyInPandas(lambda h: source_limits(h, params), "key string, limit long, posterior double")
     near = real.select("id", F.col("source").alias("key"), F.explode(F.array_distinct(F.array("base", "total"))).alias("limit"))
     at = near.join(limits, ["key", "limit"]).groupBy("id").agg(F.max("posterior").alias("piled"))

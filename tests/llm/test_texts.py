@@ -240,3 +240,17 @@ def test_notices_and_licences_count_whatever_the_length_of_the_file(lines):
     header = "/*\n" + "".join(f" Part {i} of the notes\n" for i in range(lines))
     assert provenance.third_party_place("r/vendor/a.ts", header + " Licensed under the X licence\n*/\n" + "\n".join(code))
     assert not provenance.third_party_place("r/vendor/a.ts", header + "*/\n" + "\n".join(code))
+
+
+def test_limits_of_any_length_and_before_signs_of_any_length(spark):
+    rng = random.Random(11)
+    say = lambda n: " ".join(f"The {rng.choice(['cache', 'parser', 'index'])} {rng.choice(['keeps', 'drops', 'reads'])} the old key." for _ in range(n))
+    block = "```\n" + "x" * 98_000 + "\n```\n\n"
+    rows = [(i, say(rng.randrange(4, 60)), rng.choice(["long", "sign"])) for i in range(400)]
+    rows += [(1000 + i, (block + say(90))[:99_997] + " ke", "long") for i in range(12)]
+    signs = ["…", "...", " …", " ...", "[…]", "[...]", " [truncated]", "… [truncated]", " (truncated)", " [cut off]", " <truncated>", " [snip]"]
+    rows += [(2000 + i, say(30)[:700] + "ke" + sign, "sign") for i, sign in enumerate(signs)]
+    got = {r["id"]: r["at_limit"] for r in truncation.scored(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(len(text) == 100_000 for i, text, _ in rows if 1000 <= i < 2000)
+    assert {i for i, at in got.items() if at} >= {1000 + i for i in range(12)} | {2000 + i for i in range(len(signs))}
+    assert sum(got.values()) <= 30
