@@ -203,13 +203,11 @@ def _copied(upstream: list[str], params: ProvenanceParams):
         for batch in batches:
             found = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                every = shingles(text or "", params.words)
-                probe = every[::7]  # if few of these are known, few of all are
-                if not probe or sum(s in owners for s in probe) < 0.4 * len(probe):
-                    continue
-                mine = set(every)
+                mine = set(shingles(text or "", params.words))
+                if sum(s in owners for s in mine) < params.similarity * len(mine):
+                    continue  # no one file has more of them than all together
                 hits = Counter(k for s in mine for k in owners.get(s, ()))
-                if hits and max(hits.values()) >= params.similarity * len(mine) and len(mine) >= 8:
+                if hits and max(hits.values()) >= params.similarity * len(mine):
                     found.append(path)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["path"])
 

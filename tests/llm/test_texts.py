@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from quarrystone.llm import leaks, mixing, provenance, splitting, truncation
@@ -254,3 +255,16 @@ def test_limits_of_any_length_and_before_signs_of_any_length(spark):
     assert all(len(text) == 100_000 for i, text, _ in rows if 1000 <= i < 2000)
     assert {i for i, at in got.items() if at} >= {1000 + i for i in range(12)} | {2000 + i for i in range(len(signs))}
     assert sum(got.values()) <= 30
+
+
+def test_copies_of_third_parties_count_by_all_different_shingles():
+    theirs = [f"t{i}" for i in range(60)]
+    patched = theirs[:]
+    patched[0], patched[30] = "own", "own"
+    padded = [*theirs, *["// same line of my own"] * 200]
+    short = theirs[:14]
+    short[0] = short[13] = "own"
+    rows = {"whole": theirs, "patched": patched, "padded": padded, "short": short, "tiny": ["only", "six", "words", "of", "a", "file"], "own": theirs[:20] + [f"m{i}" for i in range(40)], "empty": []}
+    batch = pa.RecordBatch.from_pydict({"path": list(rows), "text": pa.array([" ".join(w) for w in rows.values()], pa.string())})
+    run = provenance._copied([" ".join(theirs), "only six words of a file"], provenance.ProvenanceParams())
+    assert {p for b in run(iter([batch])) for p in b.column(0).to_pylist()} == {"whole", "patched", "padded", "short", "tiny"}
