@@ -125,7 +125,6 @@ DECLARED = re.compile(r"(?P<exported>export\s+(?:default\s+)?)?(?:declare\s+)?(?
 ARROW = re.compile(r"(?P<exported>export\s+)?(?:const|let|var)\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={\n]+)?=>|[A-Za-z_$][\w$]*\s*=>)")
 METHOD = re.compile(r"^[ \t]*(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^<>{}]*>)?\(", re.M)
 NO_METHOD = {"if", "for", "while", "switch", "catch", "return", "function", "constructor", "super", "new", "await", "throw", "typeof"}
-DECORATOR = re.compile(r"@([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)\s*(?:\((?:[^()]|\([^()]*\))*\))?\s*$")
 SCRIPT_IMPORT = re.compile(r"^[ \t]*(?P<kind>import|export)\s+(?P<type>type\s+)?(?P<clause>[^;'\"]*?)\s*(?:from\s+)?(?P<q>['\"])(?P<spec>[^'\"\n]+)(?P=q)", re.M)
 
 
@@ -150,12 +149,24 @@ def closing(code: str, at: int) -> int:
     return len(code) - 1
 
 
-def decorators_before(text: str, at: int) -> list[str]:
-    names, head = [], text[:at].rstrip()
-    while m := DECORATOR.search(head[-400:]):
-        names.append(m[1].split(".")[-1])
-        head = head[: len(head) - (len(head[-400:]) - m.start())].rstrip()
-    return names[::-1]
+def decorators_before(code: str, at: int) -> list[str]:
+    """The decorators, with arguments of any length, that stand right before ``at`` in blanked code."""
+    names: list[str] = []
+    while True:
+        end = len(code[:at].rstrip())
+        if end and code[end - 1] == ")":
+            depth = 1
+            while end > 1 and depth:
+                end -= 1
+                depth += (code[end - 1] == ")") - (code[end - 1] == "(")
+            end = len(code[: end - 1].rstrip())
+        start = end
+        while start and (code[start - 1].isalnum() or code[start - 1] in "_$."):
+            start -= 1
+        if start in (0, end) or code[start - 1] != "@":
+            return names[::-1]
+        names.append(code[start:end].split(".")[-1])
+        at = start - 1
 
 
 def script_symbols(text: str) -> list[dict]:
@@ -165,7 +176,7 @@ def script_symbols(text: str) -> list[dict]:
     head = lambda i, j: " ".join(x.strip() for x in text[i : (code.find("{", i, j) if code.find("{", i, j) > 0 else j)].splitlines() if x.strip())
     for m in DECLARED.finditer(code):
         end, word, name = closing(code, m.end()), m["word"], m["name"]
-        decorators = decorators_before(text, m.start())
+        decorators = decorators_before(code, m.start())
         kind = {"class": "class", "interface": "interface", "enum": "enum", "function": "function"}[word]
         tags = []
         if word == "class":
@@ -188,7 +199,7 @@ def script_symbols(text: str) -> list[dict]:
             brace = code.find("{", close) if close > 0 else -1
             if brace < 0 or brace > stop or ";" in code[close:brace]:
                 continue
-            end, decorators = closing(code, brace), decorators_before(text, m.start())
+            end, decorators = closing(code, brace), decorators_before(code, m.start())
             kind = "routeHandler" if ROUTE_DECORATORS & set(decorators) else "method"
             out.append(symbol(m["name"], kind, line_of(m.start("name")), line_of(end), head(m.start(), end), False, owner, decorators))
     return sorted(out, key=lambda s: (s["start_line"], s["name"]))

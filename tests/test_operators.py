@@ -179,3 +179,8 @@ def test_surprises_and_tests(spark):
     assert rows(report.related_tests(files, symbols, files.where("path = 'src/api/a.ts'"), []), "path") == [("src/api/a.spec.ts",)]
 
 
+def test_decorators_count_however_long_their_arguments_are():
+    parts = ",\n".join(f"    Part{i}.of((x) => f(g(x), ')'))" for i in range(60))
+    text = f"@Global()\n@Module({{\n  imports: [\n{parts}\n  ],\n}})\n// a note\nexport class App {{}}\n\n@ns.Injectable\nclass Plain {{}}\n\ncall(1)\nclass Bare {{}}\n"
+    got = {s["name"]: (s["type"], s["decorators"]) for s in extract.script_symbols(text)}
+    assert got["App"] == ("module", ["Global", "Module"]) and got["Plain"] == ("service", ["Injectable"]) and got["Bare"] == ("class", [])
