@@ -48,25 +48,29 @@ def impact_set(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     return reached
 
 
-def hop_counts(edges: DataFrame, start: DataFrame, most: int = 50) -> DataFrame:
+def hop_counts(edges: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """``(path, hops, parent)`` of everything connected to the one node of ``start``, edges taken both ways.
 
     ``parent`` is the node before it on a shortest path: of several the smallest. The start has 0 hops and no parent.
+    ``most`` hops are followed at most, all if it is None.
     """
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
     reached = staged(start.select("path", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("parent")), "hops")
-    frontier = reached
-    for step in range(1, most + 1):
+    frontier, step = reached, 0
+    while most is None or step < most:
+        step += 1
         found = frontier.select(F.col("path").alias("src")).join(both, "src").groupBy(F.col("dst").alias("path")).agg(F.min("src").alias("parent"))
         found = found.join(reached, "path", "left_anti").select("path", F.lit(step).alias("hops"), "parent")
         frontier = staged(found, "hops")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if step % 20 == 0:
+            reached = staged(reached, "hops")  # one table, so that the plan doesn't grow with the steps
     return reached
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 50) -> list[str] | None:
+def shortest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> list[str] | None:
     """The nodes of a shortest path, both ends included; None if there is none. Equal ends are a path of one node."""
     if source == target:
         return [source]

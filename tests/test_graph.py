@@ -39,6 +39,12 @@ def test_shortest_path(spark):
     assert graph.shortest_path(edges, "a1", "x") is None
 
 
+def test_hops_go_on_to_the_end_of_a_long_chain(spark):
+    _, edges = frames(spark, [], [(f"n{i:02}", f"n{i + 1:02}") for i in range(53)])
+    got = {r["path"]: r["hops"] for r in graph.hop_counts(edges.coalesce(1), spark.createDataFrame([("n00",)], "path string")).collect()}
+    assert got == {f"n{i:02}": i for i in range(54)}
+
+
 @pytest.mark.parametrize("seeds", [None, [("a1", 5.0), ("b1", -3.0)]])
 def test_pagerank_sums_to_one_and_seeds_pull(spark, seeds):
     nodes, edges = frames(spark, *TWO)
