@@ -378,10 +378,10 @@ l as (select path, hash from listed where snapshot_no > 1 qualify row_number() o
 select coalesce(l.path, s.path) as path, case when l.path is null then s.hash else l.hash end as content_hash
 from stored s full join l on l.path = s.path where l.path is null or l.hash is not null""",
     "event_windows": "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2",
-    "modules": rf"""with m as (
-  select path, case {ext('path')} when '.cs' then regexp_extract(text, '(?m)^\s*namespace\s+([\w.]+)', 1) when '.java' then regexp_extract(text, '(?m)^\s*package\s+([\w.]+)\s*;', 1)
-    when '.kt' then regexp_extract(text, '(?m)^\s*package\s+([\w.]+)', 1) when '.scala' then regexp_extract(text, '(?m)^\s*package\s+([\w.]+)', 1) end as m from files)
-select path, regexp_replace(m, '\.+$', '') as module from m where m <> ''""",
+    "modules": rf"""with w as (
+  select path, text, case {ext('path')} when '.cs' then 'namespace' when '.java' then 'package' when '.kt' then 'package' when '.scala' then 'package' when '.php' then 'namespace' end as word from files),
+m as (select path, regexp_extract(list_filter(string_split(replace(text, chr(13), chr(10)), chr(10)), lambda x: split_part(ltrim(x), ' ', 1) = word)[1], '^\s*\w+\s+([\w.\\]+)', 1) as m from w where word is not null)
+select path, trim(replace(m, chr(92), '.'), '.') as module from m where trim(replace(m, chr(92), '.'), '.') <> ''""",
     "surprising": f"""with p as (select distinct i.path as src, f.path as dst from (select distinct path, specifier from imports where specifier like '.%') i
   join (select distinct path from files) f on {stem('f.path')} <> '' and contains(i.specifier, {stem('f.path')}) and f.path <> i.path),
 l as (select path, concat_ws(':', repo, {ext('path')}) as label from files)

@@ -154,19 +154,49 @@ def test_script_extraction():
 
 def test_other_languages():
     symbols, imports = extract.extract("import os\nfrom a.b import c\n\nclass A:\n    @staticmethod\n    def m(self):\n        pass\n\ndef _f():\n    pass\n", "x.py")
-    assert [(s["name"], s["type"], s["parent_name"], s["exported"]) for s in symbols] == [("A", "class", None, True), ("m", "method", "A", True), ("_f", "function", None, False)]
+    assert [(s["name"], s["type"], s["parent_name"], s["exported"]) for s in symbols] == [("A", "class", None, True), ("m", "method", "A", True), ("_f", "function", None, True)]
     assert [i["specifier"] for i in imports] == ["os", "a.b"]
     symbols, imports = extract.extract('import (\n  "fmt"\n  x "a/b"\n)\nfunc (r *R) Do() {}\ntype R struct {}\n', "x.go")
-    assert {(s["name"], s["type"]) for s in symbols} == {("Do", "function"), ("R", "class")} and [i["specifier"] for i in imports] == ["fmt", "a/b"]
+    assert {(s["name"], s["type"], s["parent_name"], s["exported"]) for s in symbols} == {("Do", "method", "R", True), ("R", "class", None, True)} and [i["specifier"] for i in imports] == ["fmt", "a/b"]
     assert extract.extract("class Broken(:\n", "x.py")[0][0]["name"] == "Broken"
     assert extract.extract("", "noext") == ([], [])
 
 
+def found(text, path):
+    symbols, imports = extract.extract(text, path)
+    return [(s["name"], s["type"], s["start_line"], s["end_line"], s["parent_name"]) for s in symbols], [i["specifier"] for i in imports]
+
+
+def test_headers_without_a_word():
+    text = 'package a.b;\nimport static c.D.*;\n/* class No {}\n*/\npublic class Foo<T> extends Bar {\n  int x = f(3);\n  Foo(int a) { call(a); }\n  public Map<String, List<T>> go(int a,\n      String b) throws E {\n    return new Q(2).then("class { ");\n  }\n  abstract int sig(int a);\n}\n'
+    assert found(text, "a.java") == ([("Foo", "class", 5, 13, None), ("Foo", "method", 7, 7, "Foo"), ("go", "method", 8, 11, "Foo"), ("sig", "method", 12, 12, "Foo")], ["c.D"])
+    assert found("using System.Text;\nnamespace X {\n  class C {\n    public int P { get; set; }\n    Task<int> Run(int a) => 3;\n  }\n}\n", "a.cs") == ([("C", "class", 3, 6, None), ("Run", "method", 5, 5, "C")], ["System.Text"])
+
+
+def test_words_of_each_language():
+    symbols, imports = extract.extract("use std::io::{self, Read};\npub struct A { x: u8 }\nimpl<T> Show for A {\n  pub fn new() -> Self { A { x: 1 } }\n  fn own(&self) {}\n}\n", "a.rs")
+    assert [(s["name"], s["type"], s["parent_name"], s["exported"]) for s in symbols] == [("A", "class", None, True), ("new", "method", "A", True), ("own", "method", "A", False)] and imports[0]["specifier"] == "std::io"
+    assert found("class K(val x: Int) {\n  fun go() = 3\n}\n", "a.kt")[0] == [("K", "class", 1, 3, None), ("go", "method", 2, 2, "K")]
+    assert found("foo() {\n echo x\n}\nfunction bar {\n}\n", "a.sh")[0] == [("foo", "function", 1, 3, None), ("bar", "function", 4, 5, None)]
+    assert found('module "net" {\n  source = "./net"\n}\n', "a.tf") == ([("net", "function", 1, 1, None)], ["./net"])
+    assert found("require 'a/b'\nclass K\n  def ok?\n  end\nend\n", "a.rb") == ([("K", "class", 2, 2, None), ("ok?", "function", 3, 3, None)], ["a/b"])
+    assert found("<?php\nuse X\\Y;\nrequire_once('lib/a.php');\n", "a.php")[1] == ["X/Y", "lib/a.php"]
+    assert found("#include <a.h>\n#include \"b/c.h\"\n", "a.c")[1] == ["a.h", "b/c.h"]
+    assert found("", "a.java") == ([], []) and found("}}}{{{", "a.java") == ([], [])
+
+
+def test_signatures_end_at_the_body():
+    text = "export function f(a: { b: number }, c: Array<{ d: string }>): { e: number } {\n  return g(a);\n}\nclass A extends React.Component<P> {\n  go(x: { y: number }): void {\n  }\n}\n"
+    got = {s["name"]: (s["signature"], s["type"], s["end_line"]) for s in extract.extract(text, "a.ts")[0]}
+    assert got["f"] == ("export function f(a: { b: number }, c: Array<{ d: string }>): { e: number }", "function", 3)
+    assert got["A"] == ("class A extends React.Component<P>", "component", 7) and got["go"] == ("go(x: { y: number }): void", "method", 6)
+
+
 def test_index_rows(spark):
     files = spark.createDataFrame([("a.ts", SCRIPT, "clash"), ("b.java", "package x.y;\nclass Q {}", "clash"), ("c.ts", None, "c"), (None, "x", "c")], "path string, text string, symbols string")
     indexed = extract.index_files(files)
     assert {r["path"]: r["module"] for r in indexed.collect()} == {"a.ts": None, "b.java": "x.y", "c.ts": None}
-    assert extract.symbols_of(indexed).where("path = 'b.java'").first()["id"] == "b.java:Q:1:class"  # where the match starts, before the line feed
+    assert extract.symbols_of(indexed).where("path = 'b.java'").first()["id"] == "b.java:Q:2:class"
     assert extract.index_files(files.limit(0)).count() == 0
 
 
