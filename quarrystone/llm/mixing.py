@@ -10,6 +10,7 @@ size; what is left of each group, at most one document, is paired again in a tre
 from __future__ import annotations
 
 import base64
+import hashlib
 import importlib.util
 import random
 from collections.abc import Iterator
@@ -29,13 +30,15 @@ from quarrystone.session import staged
 class MixParams:
     """ranks: a byte-pair vocabulary in tiktoken's format, and pattern, how it splits texts (None: the public
     vocabulary and pattern installed with this interpreter). tokens: size of a mix (None: the largest at which every
-    source still reaches its share). group: documents rounded by one task. fan: leftovers that a step of the tree joins."""
+    source still reaches its share). group: documents rounded by one task. fan: leftovers that a step of the tree joins.
+    small: targets up to which the plan is broadcast; a longer one is joined by shuffle."""
 
     ranks: str | None = None
     pattern: str | None = None
     tokens: int | None = None
     group: int = 20_000
     fan: int = 64
+    small: int = 100_000
     seed: int = 11
 
 
@@ -49,16 +52,30 @@ def _vocabulary(params: MixParams) -> tuple[str, str]:
     return "/opt/tokenizers/byte_bpe_50k.tiktoken", params.pattern or r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+_ENCODINGS: dict[str, object] = {}
+
+
+def _encoding(raw: bytes, pattern: str):
+    """The tokenizer of a vocabulary, built once in a worker."""
+    import tiktoken
+
+    name = hashlib.sha256(pattern.encode() + raw).hexdigest()
+    if name not in _ENCODINGS:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line)}
+        _ENCODINGS[name] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[name]
+
+
 def token_counts(documents: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", params: MixParams = MixParams()) -> DataFrame:
-    """``(doc_id, source, tokens)`` of every document with an id; a null text has 0 tokens."""
+    """``(doc_id, source, tokens)`` of every document with an id; a null text has 0 tokens.
+
+    The vocabulary is read by the driver only, and sent once to each executor.
+    """
     place, pattern = _vocabulary(params)
+    raw = documents.sparkSession.sparkContext.broadcast(Path(place).read_bytes())  # some 50,000 lines
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        lines = Path(place).read_bytes().splitlines()
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line)}
-        encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encoding = _encoding(raw.value, pattern)
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "tokens"])
@@ -125,16 +142,24 @@ def select_mix(documents: DataFrame, targets: DataFrame, ident: str = "doc_id",
 
     Documents with a null id or without tokens are in no mix; a null source is the source "". The same seed and rows
     give the same mix. Rows that repeat an id are documents of their own. No source, however large, is rounded by one
-    task: groups have at most about ``group`` documents, and each leaves one for the next step of the tree.
+    task: groups have at most about ``group`` documents, are shuffled as such, and each leaves one for the next step of
+    the tree.
     """
     counts = staged(token_counts(documents, ident, text, source, params).where("tokens > 0"), "tokens")
     return _select(counts, plan_mixes(counts, targets, params), params)
 
 
+def grouped(rows: DataFrame):
+    """Rows shuffled and grouped by the part of a mix's source they belong to."""
+    return rows.repartition("mix", "source", "part").groupBy("mix", "source", "part")
+
+
 def _select(counts: DataFrame, plan: DataFrame, params: MixParams) -> DataFrame:
     kind = counts.schema["doc_id"].dataType.simpleString()
     sizes = counts.groupBy("source").agg(F.count("*").alias("docs"))
     plan = plan.where("copies > 0").join(sizes, "source").select("mix", "source", "copies", F.ceil(F.col("docs") / params.group).cast("long").alias("groups"))
+    if plan.count() <= params.small:
+        plan = F.broadcast(plan)
     rows = counts.join(plan, "source").select("mix", "source", "doc_id", "tokens", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("p"), F.pmod(F.xxhash64("doc_id", "mix", F.lit(params.seed)), F.col("groups")).alias("part"))
     schema = f"mix string, source string, doc_id {kind}, tokens long, whole long, p double, part long, state int"
 
@@ -151,12 +176,13 @@ def _select(counts: DataFrame, plan: DataFrame, params: MixParams) -> DataFrame:
             p[held[0]] = held[1]
         return group.assign(p=p, state=[1 if held is not None and held[0] == i else 0 for i in range(len(group))])
 
-    rounded = staged(rows.groupBy("mix", "source", "part").applyInPandas(round_group, schema), "rounded")
+    # a join by source has all of a source in one place, which would do for the grouping: groups are spread on purpose
+    rounded = staged(grouped(rows).applyInPandas(round_group, schema), "rounded")
     finished, left = rounded.where("state = 0"), rounded.where("state = 1")
     most = plan.agg(F.max("groups")).first()[0] or 1
     done = [finished]
     while most > 1:
-        left = staged(left.withColumn("part", F.floor(F.col("part") / params.fan)).groupBy("mix", "source", "part").applyInPandas(round_group, schema), "left")
+        left = staged(grouped(left.withColumn("part", F.floor(F.col("part") / params.fan))).applyInPandas(round_group, schema), "left")
         done.append(left.where("state = 0"))
         left = left.where("state = 1")
         most = -(-most // params.fan)

@@ -1,7 +1,9 @@
 import random
 
+import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quarrystone.llm import leaks, mixing, provenance, splitting, truncation
 from quarrystone.llm.splitting import cut, line_ends
@@ -182,6 +184,17 @@ def test_mix_reaches_its_shares(spark):
     assert mixing.select_mix(documents.limit(0), targets, params=params).count() == 0 and mixing.select_mix(documents, targets.limit(0), params=params).count() == 0
 
 
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_no_task_gets_a_whole_source(spark, small):
+    rows = spark.range(2000).select(F.lit("m").alias("mix"), F.lit("hot").alias("source"), "id")
+    plan = spark.createDataFrame([("m", "hot", 20)], "mix string, source string, groups long")
+    joined = rows.drop("mix").join(F.broadcast(plan) if small else plan.hint("merge"), "source").withColumn("part", F.pmod(F.xxhash64("id"), F.col("groups")))
+    sizes = mixing.grouped(joined).applyInPandas(lambda g: pd.DataFrame({"part": g["part"].iloc[:1], "n": [len(g)]}), "part long, n long")
+    text = sizes._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(mix" in text and "part" in text.split("hashpartitioning(mix", 1)[1].split(")", 1)[0]
+    assert sizes.count() == 20 and max(r["n"] for r in sizes.collect()) < 200
+
+
 def test_truncated_texts(spark):
     rng = random.Random(8)
     nouns, verbs = ["cache", "parser", "index", "window", "planner", "ledger"], ["keeps", "drops", "reads", "merges"]
