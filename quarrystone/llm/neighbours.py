@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.pivots import Block, PivotParams, each_block, exact_cosines, fit_pivots, measure_blocks, members, postings
+from quarrystone.llm.pivots import Block, PivotParams, each_block, exact_cosines, fit_pivots, members, postings
 
 BAND = 5e-5  # beyond the error of a cosine of decoded codes
 
@@ -121,7 +121,7 @@ FOUND = pa.schema([("key", pa.binary()), ("nbr", pa.binary()), ("cos", pa.float6
 def key_neighbours(df: DataFrame, ident: str = "id", vector: str = "vector", params: NeighbourParams = NeighbourParams()) -> DataFrame:
     """``(key, nbrs array<struct<r double, nbr binary>>)`` of every distinct direction with a neighbour: the k of the
     highest rounded cosine and those that tie with the k-th, most similar first."""
-    pivots = measure_blocks(df, vector, fit_pivots(df, ident, vector, params.pivots))
+    pivots = fit_pivots(df, ident, vector, params.pivots)
     found = each_block(postings(df, vector, pivots), pivots, lambda b: block_neighbours(b, params), "key binary, nbr binary, cos double", FOUND)
     rounded = found.select("key", F.struct((-F.round("cos", params.digits)).alias("r"), "nbr").alias("x")).where(-F.col("x.r") >= params.least)
     lists = rounded.groupBy("key").agg(F.sort_array(F.collect_set("x")).alias("x"))
