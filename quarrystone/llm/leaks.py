@@ -171,14 +171,19 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     for number in range(max(blocks, 1)):
         part = named.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number) if blocks > 1 else named
         rows = [(r["item_id"], r["text"]) for r in part.collect()]
-        found = docs.mapInArrow(_search(rows, params), f"doc_id {id_types[0]}, item_id {id_types[1]}")
+        held = documents.sparkSession.sparkContext.broadcast(rows)  # at most ``block`` items, once for each executor
+        found = docs.mapInArrow(_search(held, params), f"doc_id {id_types[0]}, item_id {id_types[1]}")
         result = found if result is None else result.union(found)
     return result.distinct()
 
 
-def _search(rows: list[tuple], params: LeakParams):
+_READY: dict[int, Items] = {}
+
+
+def _search(held, params: LeakParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = Items(rows, params)
+        rows = held.value
+        ready = ready_items(rows, params)
         kind = pa.array([r[0] for r in rows]).type if rows else pa.int64()
         for batch in batches:
             docs, items = [], []
@@ -191,6 +196,15 @@ def _search(rows: list[tuple], params: LeakParams):
     return run
 
 
+def ready_items(rows: list[tuple], params: LeakParams) -> Items:
+    """The automaton of some items, built once in a worker; only the last block's is kept."""
+    key = hash((params, tuple(rows)))
+    if key not in _READY:
+        _READY.clear()
+        _READY[key] = Items(rows, params)
+    return _READY[key]
+
+
 def leak_report(found: DataFrame, items: DataFrame, item: str = "item_id") -> DataFrame:
     """``(item_id, documents)`` of every item that leaked."""
     counts = found.groupBy("item_id").agg(F.count("*").alias("documents"))

@@ -1,17 +1,17 @@
 """The most similar vectors of every vector, by a permutation index.
 
 Each vector is represented by its ordered nearest pivots (its prefix) and posted in their inverted files. A vector
-probes the files of its first pivots; the candidates there are ranked by the footrule distance of the prefixes, those
-beyond a distance are dropped, and the rest are reranked by cosine.
+probes the files of its first pivots; the candidates there are ranked by the footrule distance of the prefixes, and only
+the nearest of them are reranked by cosine.
 
 With w(p) = prefix + 1 - position of pivot p (0 where absent), the footrule distance of two prefixes is
-sum w(a) + sum w(b) - 2 * sum over shared pivots of min(w(a), w(b)), that is, a constant less twice the shared weight;
-the cut is given as the least shared weight.
+sum w(a) + sum w(b) - 2 * sum over shared pivots of min(w(a), w(b)), that is, a constant less twice the shared weight:
+ranking by distance is ranking by shared weight.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,37 +26,59 @@ BAND = 5e-5  # beyond the error of a cosine of decoded codes
 @dataclass(frozen=True)
 class NeighbourParams:
     """k: neighbours of a vector. least: their lowest cosine. probes: inverted files that a vector searches.
-    shared: the least shared weight (see above) of a candidate. digits: to which cosines are rounded before ranking."""
+    ranked: candidates of the least footrule distance that are reranked in each file (and those as near as the last).
+    digits: to which cosines are rounded before ranking."""
 
     k: int = 5
     least: float = 0.8
     probes: int = 2
-    shared: int = 2
+    ranked: int = 1500
     digits: int = 6
     pivots: PivotParams = PivotParams(prefix=5, rows_per_pivot=1500)
 
 
-def shared_weights(weights: np.ndarray, lists: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """For ``rows`` against all: the sum of min(w) over shared pivots."""
-    out = np.zeros((len(rows), len(lists)), np.uint8)
-    flat, width = lists.ravel(), lists.shape[1]
+def by_pivot(lists: np.ndarray, rows: np.ndarray) -> dict[int, np.ndarray]:
+    """Where each pivot is in the lists of some rows, as row number * width + position."""
+    width = lists.shape[1]
+    flat = lists[rows].ravel()
     order = np.argsort(flat, kind="stable")
     pivots, starts = np.unique(flat[order], return_index=True)
-    place = {int(p): part for p, part in zip(pivots, np.split(order, starts[1:]))}
-    mine = lists[rows].ravel()
-    own = np.argsort(mine, kind="stable")
-    pivots, starts = np.unique(mine[own], return_index=True)
-    for p, part in zip(pivots, np.split(own, starts[1:])):
-        everyone = place[int(p)]
-        a, b = part // width, everyone // width
-        least = np.minimum.outer(weights[part % width], weights[everyone % width])
-        if len(b) == len(lists):  # the block's own pivot, which all have
-            out[a[:, None], b[None, :]] += least
-        elif len(b) > 1:
-            out[np.ix_(a, b)] += least
+    return {int(p): part for p, part in zip(pivots, np.split(order, starts[1:]))} if width else {}
+
+
+def shared_weights(lists: np.ndarray, rows: np.ndarray, everywhere: dict[int, np.ndarray]) -> np.ndarray:
+    """For ``rows`` against all: the sum of min(w) over shared pivots. everywhere: by_pivot of all rows."""
+    width = lists.shape[1]
+    weights = np.arange(width, 0, -1).astype(np.uint8)
+    out = None
+    for p, part in by_pivot(lists, rows).items():
+        everyone = everywhere[p]
+        if len(everyone) == len(lists) and len(part) == len(rows):  # the block's own pivot, which all have
+            own, other = np.empty(len(rows), np.uint8), np.empty(len(lists), np.uint8)
+            own[part // width], other[everyone // width] = weights[part % width], weights[everyone % width]
+            out = np.minimum.outer(own, other)
+    out = np.zeros((len(rows), len(lists)), np.uint8) if out is None else out
+    for p, part in by_pivot(lists, rows).items():
+        everyone = everywhere[p]
+        if 1 < len(everyone) < len(lists) or (len(everyone) > 1 and len(part) < len(rows)):
+            b, w = everyone // width, weights[everyone % width]
+            for level in range(1, width + 1):  # min(w(a), w(b)) is the number of levels that both reach
+                a = part[weights[part % width] == level] // width
+                if len(a):
+                    out[np.ix_(a, b)] += np.minimum(w, level)[None, :]
     return out
 
 
+def cut_at(shared: np.ndarray, ranked: int, most: int) -> np.ndarray:
+    """For each row the largest weight that at least ``ranked`` entries reach, 1 if there are fewer."""
+    low, high = np.ones(len(shared), np.uint8), np.full(len(shared), most, np.uint8)
+    while (low < high).any():
+        middle = ((low.astype(np.int32) + high + 1) // 2).astype(np.uint8)
+        enough = np.count_nonzero(shared >= middle[:, None], axis=1) >= ranked
+        low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
+    return low
+
+
 def _top(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the k largest entries above -1 of each row, with all that come within BAND of the k-th."""
     hits = (near > -1).sum(axis=1)
@@ -73,34 +95,38 @@ def _top(near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(columns)
 
 
-def block_neighbours(block: Block, params: NeighbourParams, tile: int = 768) -> dict[str, list] | None:
+def block_neighbours(block: Block, params: NeighbourParams, tile: int = 256) -> dict[str, list] | None:
     n, t = block.lists.shape
-    weights = np.arange(t, 0, -1).astype(np.uint8)
     asks = (block.lists[:, : params.probes] == block.cell).any(axis=1)
     asking = np.flatnonzero(asks)
+    asking = asking[np.lexsort(block.lists[asking, :2].T[::-1])]  # alike ones together: they have candidates in common
+    everywhere = by_pivot(block.lists, np.arange(n))
     left, right = [], []
     for s in range(0, len(asking), tile):
         rows = asking[s : s + tile]
-        near = block.unit[rows] @ block.unit.T
-        near[np.arange(len(rows)), rows] = -2
+        shared = shared_weights(block.lists, rows, everywhere)
+        shared[np.arange(len(rows)), rows] = 0
         if block.side is not None:
-            near[block.side[rows][:, None] == block.side[None, :]] = -2
-        near[near < params.least - BAND] = -2
-        live = np.flatnonzero((near > -1).any(axis=1))
+            shared[block.side[rows][:, None] == block.side[None, :]] = 0
+        dropped = shared < cut_at(shared, params.ranked, t * (t + 1) // 2)[:, None]
+        columns = np.flatnonzero(~dropped.all(axis=0))
+        near = block.unit[rows] @ block.unit[columns].T
+        out = near < params.least - BAND
+        out |= np.take(dropped, columns, axis=1)
+        np.copyto(near, np.float32(-2), where=out)
+        live = np.flatnonzero(~out.all(axis=1))
         if not len(live):
             continue
         rows, near = rows[live], near[live]
-        if params.shared > 1:
-            near[shared_weights(weights, block.lists, rows) < params.shared] = -2
         homes = block.lists[rows, 0]
         for home in np.unique(homes[homes != block.cell]):  # what these meet in their nearest pivot's file, they meet there
-            near[np.ix_(homes == home, (block.lists == home).any(axis=1))] = -2
+            near[np.ix_(homes == home, (block.lists[columns] == home).any(axis=1))] = -2
         r, c = _top(near, params.k)
         left.append(rows[r])
-        right.append(c)
-        others = np.flatnonzero(~asks & (near > -1).any(axis=0))  # those that don't probe this file learn from those that do
+        right.append(columns[c])
+        others = np.flatnonzero(~asks[columns] & (near > -1).any(axis=0))  # those that don't probe this file learn from those that do
         r, c = _top(np.ascontiguousarray(near[:, others].T), params.k)
-        left.append(others[r])
+        left.append(columns[others[r]])
         right.append(rows[c])
     if not left:
         return None

@@ -154,7 +154,6 @@ def features(lines: list[str], kind: int) -> tuple[list[float], float]:
         len(text) / max(len(filled), 1),
         sum(c.isspace() for c in text) / max(len(text), 1),
         sum(c.isdigit() for c in text) / max(len(text), 1),
-        literal / solid,
         same,
         different_shapes,
         float(kind == 0),
@@ -192,14 +191,27 @@ def _study(params: ProvenanceParams):
     return run
 
 
-def _copied(upstream: list[str], params: ProvenanceParams):
-    """Paths of files most of whose shingles one third-party file has."""
+_OWNERS: dict[int, dict[str, list[int]]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def shingle_owners(upstream: list[str], words: int) -> dict[str, list[int]]:
+    """The third-party texts that have each shingle, built once in a worker; only the last block's are kept."""
+    key = hash((words, tuple(upstream)))
+    if key not in _OWNERS:
         owners: dict[str, list[int]] = {}
         for k, text in enumerate(upstream):
-            for s in set(shingles(text, params.words)):
+            for s in set(shingles(text, words)):
                 owners.setdefault(s, []).append(k)
+        _OWNERS.clear()
+        _OWNERS[key] = owners
+    return _OWNERS[key]
+
+
+def _copied(upstream, params: ProvenanceParams):
+    """Paths of files most of whose shingles one third-party file has. upstream: their texts, or a broadcast of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owners = shingle_owners(getattr(upstream, "value", upstream), params.words)
         for batch in batches:
             found = []
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -243,7 +255,7 @@ def not_hand_written(files: DataFrame, upstream: DataFrame | None = None, path:
         blocks = max(1, -(-texts.count() // params.block))
         for number in range(blocks):
             part = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == number) if blocks > 1 else texts
-            held = [r["text"] for r in part.collect()]
+            held = files.sparkSession.sparkContext.broadcast([r["text"] for r in part.collect()])  # at most ``block`` texts
             parts.append(rows.where("length(text) > 0").mapInArrow(_copied(held, params), "path string").select("path", F.lit("upstream").alias("reason"), F.lit(None).cast("double").alias("probability")))
     every = parts[0]
     for more in parts[1:]:
