@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.session import staged
+from quarrystone.session import discard, staged
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        current = staged(small.select("v", "u"), "edges")
+        last, current = current, staged(small.select("v", "u"), "edges")
+        discard(last, large)
         after = _fingerprint(current)
         if after == before:
             break

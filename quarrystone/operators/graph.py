@@ -6,10 +6,10 @@ tables; nothing but counts comes to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.session import staged
+from quarrystone.session import discard, staged
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -107,13 +107,15 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     steps = staged(steps.groupBy("path", "to").agg(F.sum("x").alias("x")), "steps")
     out = steps.groupBy("path").agg(F.sum("x").alias("out"))
     state = staged(weighted.withColumn("tele", tele).join(out, "path", "left").select("path", "tele", "out", F.col("tele").alias("rank")), "ranks")
+    last = state
     for _ in range(rounds):
         loose = state.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         moved = state.where("out is not null").join(steps, "path").groupBy(F.col("to").alias("path")).agg(F.sum(F.col("rank") * F.col("x") / F.col("out")).alias("got"))
         fresh = (F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(loose) * F.col("tele")) + F.lit(1 - damping) * F.col("tele")).alias("rank")
         following = staged(state.join(moved, "path", "left").select("path", "tele", "out", fresh, F.col("rank").alias("was")), "ranks")
         change = following.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
-        state = following.drop("was")
+        discard(last)
+        last, state = following, following.drop("was")
         if change < tolerance:
             break
     return state.select("path", "rank")
@@ -124,7 +126,7 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 8) -> Da
     unless its own is as common; labels start as the nodes themselves. Edges count both ways, mutual ones twice. In odd
     and even rounds different halves of the nodes move, so that pairs don't swap labels for ever."""
     both = staged(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "both")
-    state = staged(nodes.select("path", F.col("path").alias("label")).distinct(), "labels")
+    last = state = staged(nodes.select("path", F.col("path").alias("label")).distinct(), "labels")
     for step in range(rounds):
         votes = both.join(state.select(F.col("path").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("path"), "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("path").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
@@ -133,7 +135,8 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 8) -> Da
         moves = F.col("best").isNotNull() & (-F.col("best.n") > F.coalesce("own", F.lit(0))) & (F.pmod(F.xxhash64("path"), F.lit(2)) == step % 2)
         following = staged(joined.select("path", F.when(moves, F.col("best.label")).otherwise(F.col("label")).alias("label"), moves.alias("moved")), "labels")
         changed = following.where("moved").limit(1).count()
-        state = following.drop("moved")
+        discard(last)
+        last, state = following, following.drop("moved")
         if not changed and step % 2:
             break
     return state
@@ -171,9 +174,11 @@ def communities(nodes: DataFrame, edges: DataFrame, levels: int = 5, sweeps: int
             following = staged(decided.select("src", F.when(moves, F.col("b.to")).otherwise(F.col("c")).alias("c"), "k"), "state")
             after = _modularity(weights, following, whole)
             if after <= before + 1e-9:
+                discard(following)
                 if sweep:
                     break
                 continue
+            discard(state)
             state, before, improved = following, after, True
         if not improved:
             break
@@ -181,7 +186,9 @@ def communities(nodes: DataFrame, edges: DataFrame, levels: int = 5, sweeps: int
         renamed = staged(state.join(least, "c").select("src", "name"), "renamed")
         names = staged(names.join(renamed.withColumnRenamed("src", "community"), "community", "left").select("path", F.coalesce("name", "community").alias("community")), "names")
         grouped = weights.join(renamed.withColumnRenamed("name", "a"), "src").join(renamed.select(F.col("src").alias("dst"), F.col("name").alias("b")), "dst")
+        old = weights
         weights = staged(grouped.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "weights")
+        discard(old)
     return names
 
 
@@ -193,6 +200,8 @@ def _modularity(weights: DataFrame, state: DataFrame, whole: float) -> float:
 
 
 def numbered(labels: DataFrame, label: str = "community") -> DataFrame:
-    """Labels as numbers from 0, in the order of their smallest members. The window runs over one row for each label."""
+    """Labels as numbers from 0, in the order of their smallest members; they are sorted by ranges, not in one task."""
+    from quarrystone.operators.rank import ranked
+
     first = labels.groupBy(label).agg(F.min("path").alias("least"))
-    return labels.join(first.withColumn("number", F.row_number().over(Window.orderBy("least")) - 1), label).select("path", "number")
+    return labels.join(ranked(first, [F.col("least")], label), label).select("path", (F.col("rank") - 1).cast("int").alias("number"))

@@ -91,10 +91,25 @@ def naive_baseline(calls: DataFrame, sizes: DataFrame, extra: int = 600) -> Data
     return spread.join(known, "path", "left").groupBy("call_id").agg((F.coalesce(F.sum("bytes"), F.lit(0)) + extra).alias("bytes"))
 
 
-def answers(rows: DataFrame, answer: str, path: str, facts: str) -> Column:
-    """Whether an answer contains the expected path (if any) and all facts."""
+def answers(answer: str, path: str, facts: str) -> tuple[Column, Column]:
+    """Whether an answer has the expected path (true if none is expected), whatever its case and slashes, and whether all
+    facts, which are patterns without regard to case, are found in it."""
     text = F.coalesce(F.col(answer), F.lit(""))
-    return F.coalesce(text.contains(F.col(path)), F.lit(True)) & F.forall(F.coalesce(F.col(facts), F.array().cast("array<string>")), lambda f: text.contains(f))
+    place = F.replace(F.lower(text), F.lit("\\"), F.lit("/"))
+    known = F.coalesce(F.col(facts), F.array().cast("array<string>"))
+    return F.coalesce(F.contains(place, F.lower(F.col(path))), F.lit(True)), F.forall(known, lambda f: F.coalesce(F.regexp_like(text, F.concat(F.lit("(?i)"), f)), F.lit(False)))
+
+
+def by_arm(results: DataFrame, group: list[str], measures: list[str]) -> DataFrame:
+    """Runs, correct ones, their share, and means of measures over those that have them, for each group."""
+    means = [F.round(F.avg(m), 3).alias(f"mean_{m}") for m in measures]
+    return results.groupBy(*group).agg(F.count("*").alias("runs"), F.count_if("correct").alias("correct"), F.round(F.avg(F.col("correct").cast("double")), 3).alias("share"), *means)
+
+
+def token_totals(rows: DataFrame, used: str, others: list[str]) -> DataFrame:
+    """One row: the tokens used, those of other ways, and the percentage saved against each (0 where they have none)."""
+    sums = rows.agg(F.count("*").alias("tasks"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in [used, *others]))
+    return sums.select("*", *(T.share(F.col(c) - F.col(used), F.col(c)).alias(f"saved_{c}") for c in others))
 
 
 def newest(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:

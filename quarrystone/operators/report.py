@@ -33,21 +33,23 @@ def surprising(imports: DataFrame, files: DataFrame, labels: DataFrame) -> DataF
 def related_tests(files: DataFrame, symbols: DataFrame, selected: DataFrame, terms: list[str]) -> DataFrame:
     """``path`` of test files whose path has the stem of a selected file or a term, or a symbol of which has a term.
 
-    ``selected`` is the short list of a retrieval; its stems become part of the expression.
+    Containment of a stem is an equality: the substrings of each test's path, of the lengths that stems have, are joined
+    with the stems, however many there are.
     """
     from quarrystone.functions import text as T
 
-    stems = sorted({r["s"] for r in selected.select(P.test_stem(F.col("path")).alias("s")).limit(1000).collect() if r["s"]})
+    stems = selected.select(F.lower(P.test_stem(F.col("path"))).alias("stem")).where("length(stem) > 0").distinct()
     tests = files.where(P.is_test(F.col("path"))).select("path").distinct()
     low = F.lower("path")
-    by_path = F.lit(False)
-    for part in [*stems, *terms]:
-        by_path = by_path | low.contains(part)
-    named = F.lit(False)
+    lengths = stems.agg(F.sort_array(F.collect_set(F.length("stem"))).alias("ns"))  # one row, an entry for each length
+    cuts = F.flatten(F.transform("ns", lambda k: F.when(k <= F.length(low), F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, k))).otherwise(F.array().cast("array<string>"))))
+    by_stem = tests.crossJoin(F.broadcast(lengths)).select("path", F.explode(F.array_distinct(cuts)).alias("stem")).join(stems, "stem", "left_semi").select("path")
+    by_term, named = F.lit(False), F.lit(False)
     for t in terms:
+        by_term = by_term | low.contains(t)
         named = named | T.squash(F.col("name")).contains(t)
-    by_symbol = symbols.where(named).select("path").distinct().withColumn("hit", F.lit(True))
-    return tests.join(by_symbol, "path", "left").where(by_path | F.coalesce("hit", F.lit(False))).select("path")
+    by_symbol = tests.join(symbols.where(named).select("path"), "path", "left_semi")
+    return by_stem.union(tests.where(by_term)).union(by_symbol).distinct()
 
 
 def dependency_flow(selected: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,6 +66,35 @@ def community_sizes(labels: DataFrame, label: str = "community", sample: int = 1
     return sizes.join(first.groupBy(label).agg(F.sort_array(F.collect_list("path")).alias("members")), label)
 
 
+def with_hubs(degree: DataFrame, top: int = 8) -> DataFrame:
+    """Degrees with whether a node is among the ``top`` ones that have any."""
+    first = degree.where("degree > 0").orderBy(F.desc("degree"), "path").limit(top).select("path", F.lit(True).alias("hub"))
+    return degree.join(F.broadcast(first), "path", "left").na.fill(False, ["hub"])
+
+
+def matching_nodes(nodes: DataFrame, edges: DataFrame, text: str = "", connected: bool = False, around: bool = False) -> DataFrame:
+    """``path`` of nodes whose path contains a text; only those with an edge, or also what is one step away."""
+    found = nodes.where(F.lower("path").contains(text.lower())).select("path").distinct()
+    ends = edges.select(F.col("src").alias("path"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
+    if around:
+        found = found.union(ends.join(found, "path", "left_semi").select(F.col("other").alias("path"))).distinct()
+    return found.join(ends.select("path"), "path", "left_semi") if connected else found
+
+
+def graph_json(degree: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(kind, json)``: a row for each node with degree, community and whether it is a hub, and for each edge."""
+    nodes = with_hubs(degree).join(labels.select("path", "community"), "path", "left")
+    shown = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("path", "degree", "community", "hub")).alias("json"))
+    return shown.union(edges.select(F.lit("edge"), F.to_json(F.struct("src", "dst"))))
+
+
+def questions(hubs: list[str], tests: list[str], controllers: list[str], most: int = 6) -> list[str]:
+    """What one might ask of a graph: about its first hubs, a test and a controller."""
+    out = [q for h in hubs[:2] for q in (f"What does {h} do?", f"What breaks if {h} changes?")]
+    out += [f"What does {t} cover?" for t in tests[:1]] + [f"How does a request reach {c}?" for c in controllers[:1]]
+    return out[:most]
+
+
 @dataclass
 class Report:
     hubs: DataFrame
@@ -72,6 +103,8 @@ class Report:
     communities: DataFrame
     surprises: DataFrame
     totals: DataFrame
+    tests: DataFrame
+    controllers: DataFrame
 
     def markdown(self, rows: int = 10) -> str:
         """The short lists as text; each is cut to ``rows`` before it comes to the driver."""
@@ -81,7 +114,9 @@ class Report:
         for title, frame in (("Hubs", self.hubs), ("Hot symbols", self.hot_symbols), ("Communities", self.communities), ("Surprising connections", self.surprises), ("Orphans", self.orphans)):
             parts += [f"## {title}", ""]
             parts += ["- " + ", ".join(str(v) for v in r) for r in frame.limit(rows).collect()] + [""]
-        return "\n".join(parts)
+        first = lambda frame, n: [r[0] for r in frame.limit(n).collect()]
+        asked = questions(first(self.hubs, 2), first(self.tests, 1), first(self.controllers, 1))
+        return "\n".join([*parts, "## Questions", "", *(f"- {q}" for q in asked), ""])
 
 
 def build_report(files: DataFrame, symbols: DataFrame, imports: DataFrame, edges: DataFrame, usage: DataFrame) -> Report:
@@ -91,4 +126,4 @@ def build_report(files: DataFrame, symbols: DataFrame, imports: DataFrame, edges
     sizes = community_sizes(labels).where("size > 1").orderBy(F.desc("size"), "community").limit(6)
     found = surprising(imports, files, labels.withColumnRenamed("community", "label")).orderBy("src", "dst").limit(10)
     totals = nodes.agg(F.count_distinct("path").alias("files")).crossJoin(edges.agg(F.count("*").alias("edges"))).crossJoin(symbols.agg(F.count_distinct("id").alias("symbols")))
-    return Report(degree.where("degree > 0").orderBy(F.desc("degree"), "path").limit(10), graph.orphans(nodes, edges).orderBy("path").limit(50), usage.orderBy(F.desc("referenced_by"), "symbol_name", "defined_in").limit(10), sizes, found, totals)
+    return Report(degree.where("degree > 0").orderBy(F.desc("degree"), "path").limit(10), graph.orphans(nodes, edges).orderBy("path").limit(50), usage.orderBy(F.desc("referenced_by"), "symbol_name", "defined_in").limit(10), sizes, found, totals, nodes.where(P.is_test(F.col("path"))).orderBy("path"), symbols.where("type in ('controller', 'routeHandler')").select("name").orderBy("name"))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarrystone.functions import vectors as V
 
@@ -57,7 +58,7 @@ def top_k(queries: DataFrame, rows: DataFrame, query: str, key: str, vector: str
         for dim in dims:
             some = [(i, v) for i, v in held if len(v) == dim]
             if some:
-                near = usable(rows, vector, dim).select(key, vector).mapInArrow(_nearest(some, query, key, k, least), f"{query} {kinds[0]}, {key} {kinds[1]}, similarity double")
+                near = usable(rows, vector, dim).select(key, vector).mapInArrow(_nearest(some, to_arrow_type(queries.schema[query].dataType), query, key, k, least), f"{query} {kinds[0]}, {key} {kinds[1]}, similarity double")
                 found = near if found is None else found.union(near)
     if found is None:
         return rows.sparkSession.createDataFrame([], f"{query} {kinds[0]}, {key} {kinds[1]}, similarity double")
@@ -65,7 +66,7 @@ def top_k(queries: DataFrame, rows: DataFrame, query: str, key: str, vector: str
     return found.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
 
 
-def _nearest(held: list[tuple], query: str, key: str, k: int, least: float):
+def _nearest(held: list[tuple], kind: pa.DataType, query: str, key: str, k: int, least: float):
     names = [i for i, _ in held]
     q = np.array([v for _, v in held], np.float64)
     q /= np.linalg.norm(q, axis=1, keepdims=True)
@@ -80,7 +81,7 @@ def _nearest(held: list[tuple], query: str, key: str, k: int, least: float):
                 limit = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - 1e-9
                 near[near < limit[:, None]] = -2
             a, b = np.nonzero(near >= least)
-            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a]), batch.column(0).take(pa.array(b)), pa.array(near[a, b])], names=[query, key, "similarity"])
+            yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in a], kind), batch.column(0).take(pa.array(b)), pa.array(near[a, b])], names=[query, key, "similarity"])
 
     return run
 

@@ -345,7 +345,8 @@ def grep_matches(spark: SparkSession, folder: str) -> DataFrame:
 def answer_scores(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "eval_items")
     replies = F.concat_ws(" ", "text", F.when(F.col("item_id") % 2 == 0, F.col("expected_path")), F.array_join("expected_facts", ", "))
-    return items.withColumn("answer", replies).select("item_id", metrics.answers(items, "answer", "expected_path", "expected_facts").alias("correct"))
+    place, known = metrics.answers("answer", "expected_path", "expected_facts")
+    return items.withColumn("answer", replies).select("item_id", place.alias("file_hit"), known.alias("fact_hit"))
 
 
 @query

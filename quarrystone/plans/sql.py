@@ -359,7 +359,8 @@ from s""",
     + " + ".join(f"cast(contains(t, '{w}') as int)" for w in _grep)
     + f" >= {min(2, len(_grep))}",
     "answer_scores": """with a as (select *, concat_ws(' ', text, case when item_id % 2 = 0 then expected_path end, array_to_string(expected_facts, ', ')) as answer from eval_items)
-select item_id, coalesce(contains(answer, expected_path), true) and len(list_filter(coalesce(expected_facts, []), lambda f: not contains(answer, f))) = 0 as correct from a""",
+select item_id, coalesce(contains(replace(lower(answer), chr(92), '/'), lower(expected_path)), true) as file_hit,
+  len(list_filter(coalesce(expected_facts, []), lambda f: not regexp_matches(answer, f, 'i'))) = 0 as fact_hit from a""",
     "task_types": "select doc_id, case "
     + " ".join(f"when regexp_matches(lower(coalesce(text, '')), '\\b({words})\\b') then '{name}'".replace("what's", "what''s") for name, words in TASK_WORDS)
     + " else 'feature_change' end as task_type from documents",
