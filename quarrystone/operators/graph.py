@@ -6,6 +6,11 @@ tables; nothing but counts comes to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,12 +90,13 @@ def shortest_path(edges: DataFrame, source: str, target: str, most: int | None =
     return path[::-1]
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, backward: float = 0.5) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, backward: float = 0.5, small: int = 300_000) -> DataFrame:
     """``(path, rank)``: personalised rank with edges followed forward at weight 1 and backward at ``backward``.
 
     ``seeds`` are ``(path, weight)``; negative weights are 0, weights are scaled to 1, and without a positive one all
     nodes are seeds. What nodes without edges have goes to the seeds. Stops early when ranks change by less than
-    ``tolerance`` in total. Each round is one shuffle-reduced join over the edges; a hub's edges stay apart rows.
+    ``tolerance`` in total. Each round is one shuffle-reduced join over the edges; a hub's edges stay apart rows. A graph
+    of at most ``small`` nodes and steps is ranked in the same way by one task, without a shuffle for each round.
     """
     every = nodes.select("path").distinct()
     total = every.count()
@@ -105,6 +111,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     steps = edges.select(F.col("src").alias("path"), F.col("dst").alias("to"), F.lit(1.0).alias("x")).union(edges.select("dst", "src", F.lit(backward)))
     steps = steps.join(every, "path", "left_semi").join(every.withColumnRenamed("path", "to"), "to", "left_semi")
     steps = staged(steps.groupBy("path", "to").agg(F.sum("x").alias("x")), "steps")
+    if total <= small and steps.count() <= small:
+        parts = weighted.select("path", tele.cast("double").alias("tele"), F.lit(None).cast("string").alias("to"), F.lit(None).cast("double").alias("x")).union(steps.select("path", F.lit(None).cast("double"), "to", F.col("x").cast("double")))
+        return parts.repartition(1).mapInArrow(lambda batches: _ranked_at_once(batches, damping, rounds, tolerance), "path string, rank double")
     out = steps.groupBy("path").agg(F.sum("x").alias("out"))
     state = staged(weighted.withColumn("tele", tele).join(out, "path", "left").select("path", "tele", "out", F.col("tele").alias("rank")), "ranks")
     last = state
@@ -121,6 +130,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     return state.select("path", "rank")
 
 
+def _ranked_at_once(batches: Iterator[pa.RecordBatch], damping: float, rounds: int, tolerance: float) -> Iterator[pa.RecordBatch]:
+    """The ranks of a small graph, of nodes ``(path, tele)`` and steps ``(path, to, x)``."""
+    rows = pa.Table.from_batches(list(batches), pa.schema([("path", pa.string()), ("tele", pa.float64()), ("to", pa.string()), ("x", pa.float64())]))
+    is_node = pc.is_null(rows["to"])
+    nodes, steps = rows.filter(is_node), rows.filter(pc.invert(is_node))
+    names = nodes["path"].combine_chunks()
+    src, dst = (pc.index_in(steps[c], names).to_numpy(zero_copy_only=False) for c in ("path", "to"))
+    tele, x, n = nodes["tele"].to_numpy(), steps["x"].to_numpy(), len(names)
+    out = np.bincount(src, x, n)
+    share, loose = x / out[src], out == 0
+    rank = tele
+    for _ in range(rounds):
+        fresh = damping * (np.bincount(dst, rank[src] * share, n) + rank[loose].sum() * tele) + (1 - damping) * tele
+        change, rank = np.abs(fresh - rank).sum(), fresh
+        if change < tolerance:
+            break
+    yield pa.RecordBatch.from_arrays([names, pa.array(rank)], names=["path", "rank"])
+
+
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 8) -> DataFrame:
     """``(path, label)``: every node takes the label most of its neighbours have, the smaller of equally common ones,
     unless its own is as common; labels start as the nodes themselves. Edges count both ways, mutual ones twice. In odd

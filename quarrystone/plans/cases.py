@@ -18,7 +18,7 @@ FILES = [
     ("srv/go.mod.txt", None), ("srv/internal/cache/lru.go", None), ("srv/internal/cache/ttl.go", None), ("srv/internal/http/server.go", None),
     ("jvm/src/com/acme/Order.java", "com.acme"), ("jvm/src/com/acme/Item.java", "com.acme"), ("jvm/src/com/acme/io/Reader.java", "com.acme.io"),
     ("py/tool/run.py", None), ("py/tool/parse/__init__.py", None), ("py/tool/parse/lexer.py", None), ("net/Billing.cs", "Acme.Billing"), ("net/Ledger.cs", "Acme.Billing"),
-    ("web/unique_widget.ts", None), ("a/dup.ts", None), ("b/dup.ts", None), ("rs/src/store/mod.rs", None), ("rs/src/main.rs", None),
+    ("web/unique_widget.ts", None), ("a/dup.ts", None), ("b/dup.ts", None), ("rs/src/store/mod.rs", None), ("rs/src/main.rs", None), ("util/solo.ts", None), ("py/tool/Makefile", None),
 ]
 IMPORTS = [
     ("app/main.ts", 0, "./util", ["trim", "pad"]), ("app/main.ts", 1, "./util/strings", ["pad"]), ("app/main.ts", 2, "@acme/core", ["open"]), ("app/main.ts", 3, "core/store", ["Store"]),
@@ -27,14 +27,14 @@ IMPORTS = [
     ("srv/internal/http/server.go", 0, "example.org/srv/internal/cache", ["Get"]), ("srv/internal/http/server.go", 1, "internal/http", []),
     ("jvm/src/com/acme/io/Reader.java", 0, "com.acme", ["Order"]), ("jvm/src/com/acme/io/Reader.java", 1, "com.acme.Order", ["Order"]), ("jvm/src/com/acme/Item.java", 0, "com.acme.io.Missing", ["Reader"]), ("jvm/src/com/acme/Item.java", 1, "src.com.acme.io.Reader", ["Reader"]),
     ("py/tool/run.py", 0, "py.tool.parse", ["lex"]), ("py/tool/run.py", 1, "tool.parse.lexer", ["Lexer"]), ("py/tool/run.py", 2, ".", []), ("py/tool/run.py", 3, "./parse", ["lex"]),
-    ("net/Ledger.cs", 0, "Acme.Billing", ["Invoice"]), ("rs/src/main.rs", 0, "crate::store", ["Store"]), ("rs/src/main.rs", 1, "./store", ["Store"]), ("app/main.ts", 9, "  ", []), ("app/main.ts", 10, None, []),
+    ("net/Ledger.cs", 0, "Acme.Billing", ["Invoice"]), ("rs/src/main.rs", 0, "crate::store", ["Store"]), ("rs/src/main.rs", 1, "./store", ["Store"]), ("app/main.ts", 11, "util/solo", ["solo"]), ("py/tool/run.py", 4, "tool.Makefile", []), ("app/main.ts", 9, "  ", []), ("app/main.ts", 10, None, []),
 ]
 NAMES = [
     ("app/util/strings.ts", "trim", True), ("app/util/strings.ts", "pad", True), ("app/util/index.ts", "pad", True), ("app/util/index.ts", "trim", False), ("packages/core/src/store.ts", "Store", True), ("packages/core/src/index.ts", "open", True),
     ("packages/shape/lib/area.js", "area", True), ("web/unique_widget.ts", "Widget", True), ("srv/internal/cache/lru.go", "Get", True), ("srv/internal/cache/ttl.go", "Get", True), ("jvm/src/com/acme/Order.java", "Order", True),
     ("jvm/src/com/acme/io/Reader.java", "Reader", True), ("py/tool/parse/lexer.py", "Lexer", True), ("py/tool/parse/__init__.py", "lex", True), ("net/Billing.cs", "Invoice", True), ("rs/src/store/mod.rs", "Store", True), ("b/dup.ts", "d", True),
 ]
-FIND, PUT = "return null;\n  }", "return undefined;\n  }"
+FIND, PUT = "  }\n}\n", "  } // last\n}\n"
 
 
 def case_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -191,7 +191,7 @@ def index_refresh(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _repo = "string_split(path, '/')[1]"
-_flexible = r"[ \t]*return null;[ \t]*\n[ \t]*\}[ \t]*"
+_flexible = r"[ \t]*\}[ \t]*\n[ \t]*\}[ \t]*\n[ \t]*"
 SQL |= {
     "case_links": f"with {CASES}, {RESOLVED} select path, spec, target, cast(prio as int) as prio from resolved".replace("with files", "with recursive files", 1),
     "case_references": f"with recursive {CASES}, {RESOLVED}, {REFS} select from_path, to_path, symbol_name, line from refs",
@@ -239,3 +239,6 @@ g as (select path from m union select other from e where path in (select path fr
 n as (select count(*) as chunks, count(*) filter (s.id is null or s.hash is null or s.hash <> c.hash) as embedded from c left join s using (id))
 select chunks, embedded, chunks - embedded as reused, (select count(*) from s where id not in (select id from c)) as pruned from n""",
 }
+SQL["chunked_files"] = f"""select 'file-summary' as kind, count(*) as chunks, count(distinct path) as files from files where path is not null and text is not null
+union all select 'symbol', count(*), count(distinct path) from ({SQL["symbol_chunks"]})
+union all select 'window', count(*), count(distinct path) from ({SQL["line_windows"]}) where path not in (select path from symbols where path is not null)"""

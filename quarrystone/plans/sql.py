@@ -261,7 +261,7 @@ walk2 as (
 least as (select path, min(hops) as hops from walk2 group by 1)
 select l.path, cast(l.hops as int) as hops, min(p.path) as parent
 from least l left join both_ways b on b.dst = l.path left join least p on p.path = b.src and p.hops = l.hops - 1 group by 1, 2""",
-    "pagerank": pagerank(5),
+    "pagerank": pagerank(30),
     "repo_communities": """select repo as community, count(*) as size, array_to_string(list_slice(list_sort(list(path)), 1, 3), ' ') as members from files group by 1""",
     "connected_parts": f"""with recursive {RESOLVED},
 both_ways as (select src, dst from edges union select dst, src from edges),
@@ -399,3 +399,6 @@ select path, coalesce((select count(*) from e where dst = path), 0) as in_degree
     "index_summary": f"with {RESOLVED} select (select count(distinct path) from files) as files, (select count(distinct id) from symbols) as symbols, (select count(*) from edges) as edges",
     "top_orders": "select o_custkey, o_orderkey, o_totalprice, cast(row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as int) as place from orders qualify place <= 3",
 }
+
+_changes = SQL["p5_found"].replace("as change\nfrom", "as change, old_hash, new_hash\nfrom")
+SQL["p5_counts"] = f"select snapshot_no, change, count(*) as files, count(old_hash) as old_hashes, count(case when change <> 'removed' then new_hash end) as new_hashes from ({_changes}) group by 1, 2"

@@ -50,6 +50,9 @@ def test_pagerank_sums_to_one_and_seeds_pull(spark, seeds):
     nodes, edges = frames(spark, *TWO)
     table = None if seeds is None else spark.createDataFrame(seeds, "path string, weight double")
     got = {r["path"]: r["rank"] for r in graph.pagerank(nodes, edges, table).collect()}
+    spread = {r["path"]: r["rank"] for r in graph.pagerank(nodes, edges, table, rounds=4, tolerance=0.0, small=0).collect()}
+    at_once = {r["path"]: r["rank"] for r in graph.pagerank(nodes, edges, table, rounds=4, tolerance=0.0).collect()}
+    assert spread.keys() == at_once.keys() and all(abs(spread[k] - at_once[k]) < 1e-12 for k in spread)
     assert abs(sum(got.values()) - 1) < 1e-9
     if seeds:
         assert max(got, key=got.get) == "a1" and got["x"] == 0
