@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import text as T
 from quarrystone.operators.retrieve import Index, Retrieval
+from quarrystone.session import staged
 
 SECTIONS = ("files", "symbols", "flow", "tests", "snippets")
 NO_REASON = "related by code graph retrieval"
@@ -17,12 +18,15 @@ def admit_in_sections(rows: DataFrame, group: str, budget: Column, sections: tup
 
     A section is taken in order up to the first row that doesn't fit, and the next one goes on with what is left. In a
     ``skipping`` section rows that don't fit are passed over; it is a short list, of which the first ``most`` rows of a
-    group count. Costs are positive; a null cost never fits. Groups without rows have none.
+    group count. Costs are positive; a null cost never fits. Groups without rows have none. What each section admits is
+    staged, as all later ones depend on it.
     """
-    before = rows.select(group).distinct().withColumn("used", F.lit(0).cast("long"))
+    rows = staged(rows, "candidates")
     taken = None
     for section in sections:
-        mine = rows.where(F.col("section") == section).join(before, group)
+        mine = rows.where(F.col("section") == section)
+        spent_so_far = None if taken is None else taken.groupBy(group).agg(F.max("spent").alias("used"))
+        mine = mine.withColumn("used", F.lit(0).cast("long")) if spent_so_far is None else mine.join(spent_so_far, group, "left").withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
         if section in skipping:
             items = F.slice(F.sort_array(F.collect_list(F.struct("ord", F.col("cost").cast("long").alias("cost")))), 1, most)
             start = F.struct(F.first("used").alias("used"), F.array().cast("array<struct<ord:bigint,spent:bigint>>").alias("kept"))
@@ -37,10 +41,8 @@ def admit_in_sections(rows: DataFrame, group: str, budget: Column, sections: tup
         else:
             window = Window.partitionBy(group).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
             fits = mine.withColumn("spent", F.col("used") + F.sum("cost").over(window)).withColumn("full", F.max(F.col("cost").isNull() | (F.col("spent") > budget)).over(window)).where(~F.col("full"))
-        fits = fits.select(*rows.columns, F.col("spent").cast("long").alias("spent"))
+        fits = staged(fits.select(*rows.columns, F.col("spent").cast("long").alias("spent")), "section")
         taken = fits if taken is None else taken.unionByName(fits)
-        last = fits.groupBy(group).agg(F.max("spent").alias("now"))
-        before = before.join(last, group, "left").select(group, F.coalesce("now", "used").alias("used"))
     return taken
 
 
