@@ -14,7 +14,7 @@ ITEM = "Explain why the shared cursor of the window is handed to the parser and
 def brute(item, doc, part=0.5, budget=8):
     """Whether some run of at least half of the item is within its budget of some run of the document."""
     least = max(1, -int(-len(item) * part // 1))
-    for length in sorted({least, (least + len(item)) // 2, len(item)}):
+    for length in range(least, len(item) + 1):
         for s in range(len(item) - length + 1):
             row = [0] * (len(doc) + 1)
             for i, w in enumerate(item[s : s + length], 1):

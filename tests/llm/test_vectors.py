@@ -80,3 +80,29 @@ def test_empty_table(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert neighbours.neighbour_pairs(frame).count() == 0
     assert peaks.clusters(frame).count() == 0
+
+
+def test_groups_of_pivots_find_nearly_the_nearest():
+    from quarrystone.llm.pivots import Pivots
+
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(60, 64))
+    x = centers[rng.integers(0, 60, 4000)] + rng.normal(size=(4000, 64)) * 0.5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = x[:900].astype(np.float32)
+    all_of_them = Pivots(PivotParams(prefix=5), pivots).prefixes(x)
+    grouped = Pivots(PivotParams(prefix=5, direct=0), pivots)
+    found = grouped.prefixes(x)
+    assert grouped.middles is not None and len(grouped.groups) == 30 and sum(map(len, grouped.groups)) == 900
+    assert found.dtype == all_of_them.dtype and (found[:, 0] == all_of_them[:, 0]).mean() > 0.97
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(found, all_of_them)]) > 4.7
+    assert Pivots(PivotParams(), np.zeros((70_000, 64), np.float32), groups=[np.arange(1)], middles=pivots).width is np.uint32
+
+
+def test_candidates_are_cut_by_footrule_distance():
+    lists = np.array([[0, 1, 2], [0, 1, 2], [1, 0, 2], [2, 3, 0], [4, 0, 5]], np.uint16)
+    rows = np.array([0])
+    shared = neighbours.shared_weights(lists, rows, neighbours.by_pivot(lists, np.arange(5)))
+    weight = lambda a, b: sum(min(3 - i, 3 - list(b).index(p)) for i, p in enumerate(a) if p in b)
+    assert shared.tolist() == [[weight(lists[0], b) for b in lists]]
+    assert neighbours.cut_at(shared, 2, 6).tolist() == [6] and neighbours.cut_at(shared, 3, 6).tolist() == [5] and neighbours.cut_at(shared, 9, 6).tolist() == [1]
