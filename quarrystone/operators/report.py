@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import paths as P
 from quarrystone.operators import graph
+from quarrystone.session import shuffled, staged
 
 
 def surprising(imports: DataFrame, files: DataFrame, labels: DataFrame) -> DataFrame:
@@ -23,11 +24,11 @@ def surprising(imports: DataFrame, files: DataFrame, labels: DataFrame) -> DataF
     parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("specifier", i, k))))
     substrings = rows.select("specifier").distinct().select("specifier", F.explode(F.array_distinct(parts)).alias("stem"))
     named = files.where("path is not null").select(F.col("path").alias("dst"), P.stem(F.col("path")).alias("stem")).where("length(stem) > 0").distinct()
-    hits = substrings.join(named, "stem").select("specifier", "dst").distinct()
-    pairs = rows.join(hits, "specifier").where("src <> dst").select("src", "dst").distinct()
+    hits = substrings.join(shuffled(named), "stem").select("specifier", "dst").distinct()
+    pairs = rows.join(shuffled(hits), "specifier").where("src <> dst").select("src", "dst").distinct()
     tops = pairs.withColumn("src_top", P.top_segment(F.col("src"))).withColumn("dst_top", P.top_segment(F.col("dst"))).where("src_top <> dst_top")
     a, b = labels.select(F.col("path").alias("src"), F.col("label").alias("la")), labels.select(F.col("path").alias("dst"), F.col("label").alias("lb"))
-    return tops.join(a, "src").join(b, "dst").where("la <> lb").select("src", "dst", "src_top", "dst_top")
+    return tops.join(shuffled(a), "src").join(shuffled(b), "dst").where("la <> lb").select("src", "dst", "src_top", "dst_top")
 
 
 def related_tests(files: DataFrame, symbols: DataFrame, selected: DataFrame, terms: list[str]) -> DataFrame:
@@ -43,18 +44,18 @@ def related_tests(files: DataFrame, symbols: DataFrame, selected: DataFrame, ter
     low = F.lower("path")
     lengths = stems.agg(F.sort_array(F.collect_set(F.length("stem"))).alias("ns"))  # one row, an entry for each length
     cuts = F.flatten(F.transform("ns", lambda k: F.when(k <= F.length(low), F.transform(F.sequence(F.lit(1), F.length(low) - k + 1), lambda i: F.substring(low, i, k))).otherwise(F.array().cast("array<string>"))))
-    by_stem = tests.crossJoin(F.broadcast(lengths)).select("path", F.explode(F.array_distinct(cuts)).alias("stem")).join(stems, "stem", "left_semi").select("path")
+    by_stem = tests.crossJoin(F.broadcast(lengths)).select("path", F.explode(F.array_distinct(cuts)).alias("stem")).join(shuffled(stems), "stem", "left_semi").select("path")
     by_term, named = F.lit(False), F.lit(False)
     for t in terms:
         by_term = by_term | low.contains(t)
         named = named | T.squash(F.col("name")).contains(t)
-    by_symbol = tests.join(symbols.where(named).select("path"), "path", "left_semi")
+    by_symbol = tests.join(shuffled(symbols.where(named).select("path")), "path", "left_semi")
     return by_stem.union(tests.where(by_term)).union(by_symbol).distinct()
 
 
 def dependency_flow(selected: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of which both ends are selected."""
-    return edges.join(selected.select(F.col("path").alias("src")), "src", "left_semi").join(selected.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return edges.join(shuffled(selected.select(F.col("path").alias("src"))), "src", "left_semi").join(shuffled(selected.select(F.col("path").alias("dst"))), "dst", "left_semi").select("src", "dst")
 
 
 def community_sizes(labels: DataFrame, label: str = "community", sample: int = 12) -> DataFrame:
@@ -63,11 +64,12 @@ def community_sizes(labels: DataFrame, label: str = "community", sample: int = 1
 
     sizes = labels.groupBy(label).agg(F.count("*").alias("size"))
     first = labels.withColumn("n", F.row_number().over(Window.partitionBy(label).orderBy("path"))).where(F.col("n") <= sample)
-    return sizes.join(first.groupBy(label).agg(F.sort_array(F.collect_list("path")).alias("members")), label)
+    return sizes.join(shuffled(first.groupBy(label).agg(F.sort_array(F.collect_list("path")).alias("members"))), label)
 
 
 def with_hubs(degree: DataFrame, top: int = 8) -> DataFrame:
     """Degrees with whether a node is among the ``top`` ones that have any."""
+    degree = staged(degree, "degrees")
     first = degree.where("degree > 0").orderBy(F.desc("degree"), "path").limit(top).select("path", F.lit(True).alias("hub"))
     return degree.join(F.broadcast(first), "path", "left").na.fill(False, ["hub"])
 
@@ -77,13 +79,13 @@ def matching_nodes(nodes: DataFrame, edges: DataFrame, text: str = "", connected
     found = nodes.where(F.lower("path").contains(text.lower())).select("path").distinct()
     ends = edges.select(F.col("src").alias("path"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
     if around:
-        found = found.union(ends.join(found, "path", "left_semi").select(F.col("other").alias("path"))).distinct()
-    return found.join(ends.select("path"), "path", "left_semi") if connected else found
+        found = found.union(ends.join(shuffled(found), "path", "left_semi").select(F.col("other").alias("path"))).distinct()
+    return found.join(shuffled(ends.select("path")), "path", "left_semi") if connected else found
 
 
 def graph_json(degree: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """``(kind, json)``: a row for each node with degree, community and whether it is a hub, and for each edge."""
-    nodes = with_hubs(degree).join(labels.select("path", "community"), "path", "left")
+    nodes = with_hubs(degree).join(shuffled(labels.select("path", "community")), "path", "left")
     shown = nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct("path", "degree", "community", "hub")).alias("json"))
     return shown.union(edges.select(F.lit("edge"), F.to_json(F.struct("src", "dst"))))
 

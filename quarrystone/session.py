@@ -67,6 +67,15 @@ def discard(*tables: DataFrame) -> None:
             remove(table.sparkSession, path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join that must not broadcast it: sorted and merged instead, whatever its size seems to be.
+
+    For tables that grow with the data. Spark takes the compressed bytes of a file or a shuffle for a table's size; paths
+    repeat so much that a table a tenth of the threshold can fill the driver, which has to hold all that is broadcast.
+    """
+    return df.hint("merge")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
