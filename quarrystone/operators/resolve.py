@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions import paths as P
+from quarrystone.session import discard, shuffled, staged
 
 # What is tried after a path, in this order.
 RESOLVED_EXTENSIONS = [
@@ -39,14 +40,14 @@ def _relative(rows: DataFrame, known: DataFrame) -> DataFrame:
     asked = rows.where(F.col("spec").startswith(".")).select("path", "spec").distinct()
     base = P.normalized(F.concat(P.dirname(F.col("path")), F.lit("/"), F.col("spec")))
     tried = asked.select("path", "spec", F.posexplode(candidates(base)).alias("pos", "target"))
-    return tried.join(known, "target").groupBy("path", "spec").agg(F.min_by("target", "pos").alias("target"))
+    return tried.join(shuffled(known), "target").groupBy("path", "spec").agg(F.min_by("target", "pos").alias("target"))
 
 
 def _namespaces(specs: DataFrame, files: DataFrame) -> DataFrame:
     modules = files.where("length(module) > 0").select("module", F.col("path").alias("target"))
-    direct = specs.join(modules.withColumnRenamed("module", "spec"), "spec").select("spec", F.lit(1).alias("prio"), "target")
+    direct = specs.join(shuffled(modules.withColumnRenamed("module", "spec")), "spec").select("spec", F.lit(1).alias("prio"), "target")
     split = specs.select("spec", F.regexp_extract("spec", r"^(.+)\.[^.]*$", 1).alias("module"), F.substring_index("spec", ".", -1).alias("leaf")).where("length(module) > 0")
-    inside = split.join(modules, "module").withColumn("same", (P.stem(F.col("target")) == F.col("leaf")).cast("int"))
+    inside = split.join(shuffled(modules), "module").withColumn("same", (P.stem(F.col("target")) == F.col("leaf")).cast("int"))
     best = inside.withColumn("most", F.max("same").over(Window.partitionBy("spec"))).where("same = most")
     return direct.union(best.select("spec", F.lit(2).alias("prio"), "target"))
 
@@ -59,15 +60,15 @@ def _packages(specs: DataFrame, files: DataFrame) -> DataFrame:
     sub = F.when(F.length("sub") > 0, F.concat(F.lit("/"), F.col("sub"))).otherwise("")
     roots = F.array(F.lit(""), F.lit("/src"), F.lit("/lib"))
     tried = F.flatten(F.transform(roots, lambda r: F.transform(endings(), lambda e: F.concat(r, sub, e))))
-    asked = asked.select("spec", "scoped", "name", F.posexplode(tried).alias("pos", "rest"))
     under = files.select("path", F.explode(P.ancestors(F.col("path"))).alias("dir"))
     directories = under.select("dir").distinct()
     places = under.select("dir", F.expr("substring(path, length(dir) + 1)").alias("rest"), F.col("path").alias("target"))
     ext = F.regexp_extract("path", "(" + "|".join(e.replace(".", r"\.") for e in RESOLVED_EXTENSIONS) + ")$", 1)
     beside = files.select("path", ext.alias("rest")).where("length(rest) > 0").select(F.expr("substring(path, 1, length(path) - length(rest))").alias("dir"), "rest", F.col("path").alias("target"))
-    places = places.union(beside.join(directories, "dir", "left_semi")).withColumn("name", P.basename(F.col("dir")))
+    places = places.union(beside.join(shuffled(directories), "dir", "left_semi")).withColumn("name", P.basename(F.col("dir")))
     single = directories.select(P.basename(F.col("dir")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    hits = asked.join(places, ["name", "rest"]).join(single, "name").where("scoped or n = 1")
+    asked = asked.join(shuffled(single), "name").where("scoped or n = 1").select("spec", "name", F.posexplode(tried).alias("pos", "rest"))
+    hits = asked.join(shuffled(places), ["name", "rest"])
     depth = F.size(F.split("dir", "/"))
     return hits.groupBy("spec").agg(F.min_by("target", F.struct(depth, "dir", "pos")).alias("target")).select("spec", F.lit(3).alias("prio"), "target")
 
@@ -79,11 +80,11 @@ def _path_like(specs: DataFrame, files: DataFrame, known: DataFrame) -> DataFram
     tails = files.select(F.col("path").alias("target"), F.explode(P.suffixes(F.col("path"))).alias("want"))
 
     def tried(rows: DataFrame, prio: int) -> DataFrame:
-        hits = rows.select("spec", F.posexplode(candidates(F.col("want"))).alias("pos", "target")).join(known, "target")
+        hits = rows.select("spec", F.posexplode(candidates(F.col("want"))).alias("pos", "target")).join(shuffled(known), "target")
         return hits.groupBy("spec").agg(F.min_by("target", "pos").alias("target")).select("spec", F.lit(prio).alias("prio"), "target")
 
     def ending(rows: DataFrame, prio: int) -> DataFrame:
-        return rows.join(tails, "want").groupBy("spec").agg(F.min("target").alias("target")).select("spec", F.lit(prio).alias("prio"), "target")
+        return rows.join(shuffled(tails), "want").groupBy("spec").agg(F.min("target").alias("target")).select("spec", F.lit(prio).alias("prio"), "target")
 
     return tried(asked, 4).union(ending(asked, 5)).union(tried(dotted, 6)).union(ending(dotted, 7))
 
@@ -92,15 +93,15 @@ def _directories(specs: DataFrame, files: DataFrame) -> DataFrame:
     plain = F.regexp_replace(P.posix(F.col("spec")), "^/+|/+$", "")
     asked = specs.select("spec", plain.alias("want")).where("want like '%/%'").select("spec", F.posexplode(P.suffixes(F.col("want"))).alias("start", "dir"))
     directories = files.select(P.dirname(F.col("path")).alias("dir"), F.col("path").alias("target")).where("dir <> '.'")
-    reached = asked.join(directories.select("dir").distinct(), "dir", "left_semi").groupBy("spec").agg(F.min_by("dir", "start").alias("dir"))
-    return reached.join(directories, "dir").select("spec", F.lit(8).alias("prio"), "target")
+    reached = asked.join(shuffled(directories.select("dir").distinct()), "dir", "left_semi").groupBy("spec").agg(F.min_by("dir", "start").alias("dir"))
+    return reached.join(shuffled(directories), "dir").select("spec", F.lit(8).alias("prio"), "target")
 
 
 def _base_names(specs: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.filter(F.split(F.regexp_replace("spec", "^@", ""), r"[.\\/:]"), lambda s: s != "")
     asked = specs.select("spec", F.try_element_at(parts, F.lit(-1)).alias("name")).where("name is not null")
     single = files.groupBy(P.stem(F.col("path")).alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("target")).where("n = 1 and length(name) > 0")
-    return asked.join(single, "name").select("spec", F.lit(9).alias("prio"), "target")
+    return asked.join(shuffled(single), "name").select("spec", F.lit(9).alias("prio"), "target")
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -111,16 +112,31 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     a directory of which all files count (8), or a base name that only one file has (9); the first that finds something
     wins. Among files that fit alike the smallest path wins. Imports without a path or specifier, and repeated rows,
     add nothing; an import may resolve to its own file.
+
+    Files, imports and what each strategy finds are staged, and a strategy is asked only for the specifiers that none
+    before it has found: one plan of them all, again wherever edges are read, is more than a driver can hold.
     """
-    files = files.select("path", "module").where("path is not null").dropDuplicates(["path"])
+    files = staged(files.select("path", "module").where("path is not null").dropDuplicates(["path"]), "files")
     known = files.select(F.col("path").alias("target"))
-    rows = import_rows(imports)
-    near = rows.join(_relative(rows, known), ["path", "spec"]).withColumn("prio", F.lit(0))
-    specs = rows.where(~F.col("spec").startswith(".")).select("spec").distinct()
-    found = _namespaces(specs, files).union(_packages(specs, files)).union(_path_like(specs, files, known)).union(_directories(specs, files)).union(_base_names(specs, files))
-    best = found.withColumn("least", F.min("prio").over(Window.partitionBy("spec"))).where("prio = least").select("spec", "target", "prio").distinct()
+    rows = staged(import_rows(imports), "imports")
+    near = rows.join(shuffled(staged(_relative(rows, known), "beside")), ["path", "spec"]).withColumn("prio", F.lit(0))
+    strategies = [
+        lambda specs: _namespaces(specs, files),
+        lambda specs: _packages(specs, files),
+        lambda specs: _path_like(specs, files, known),
+        lambda specs: _directories(specs, files),
+        lambda specs: _base_names(specs, files),
+    ]
+    specs, best = staged(rows.where(~F.col("spec").startswith(".")).select("spec").distinct(), "specs"), None
+    for strategy in strategies:
+        if best is not None:
+            last, specs = specs, staged(specs.join(shuffled(found), "spec", "left_anti"), "specs")
+            discard(last)
+        found = strategy(specs).withColumn("least", F.min("prio").over(Window.partitionBy("spec"))).where("prio = least").select("spec", "target", "prio").distinct()
+        found = staged(found, "found")
+        best = found if best is None else best.union(found)
     columns = ["path", "ord", "spec", "imported_names", "line", "target", "prio"]
-    return near.select(columns).union(rows.join(best, "spec").select(columns))
+    return near.select(columns).union(rows.join(shuffled(best), "spec").select(columns))
 
 
 def file_edges(resolved: DataFrame) -> DataFrame:
@@ -132,7 +148,7 @@ def symbol_references(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     """``(from_path, to_path, symbol_name, line)``: imported names that the file resolved to exports."""
     exported = symbols.where("exported and name is not null").select(F.col("path").alias("target"), F.col("name").alias("symbol_name")).distinct()
     named = resolved.where("path <> target").select("path", "ord", "line", "target", F.explode("imported_names").alias("symbol_name"))
-    return named.join(exported, ["target", "symbol_name"]).select(F.col("path").alias("from_path"), F.col("target").alias("to_path"), "symbol_name", "line", "ord")
+    return named.join(shuffled(exported), ["target", "symbol_name"]).select(F.col("path").alias("from_path"), F.col("target").alias("to_path"), "symbol_name", "line", "ord")
 
 
 def usage_counts(references: DataFrame) -> DataFrame:

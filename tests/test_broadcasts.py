@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import report
+from quarrystone.operators import report, resolve
 
 
 def ran(df):
@@ -27,3 +27,19 @@ def test_surprising(files, imports):
     found = report.surprising(imports, files, files.select("path", F.col("path").alias("label")))
     assert "BroadcastHashJoin" not in ran(found)
     assert {tuple(r) for r in found.collect()} == {("src/a.ts", "src/b.ts", "a.ts", "b.ts"), ("src/b.ts", "lib/c.ts", "b.ts", "lib")}
+
+
+def test_file_edges(files, imports):
+    resolved = resolve.resolve_imports(imports, files)
+    edges = resolve.file_edges(resolved)
+    assert "BroadcastHashJoin" not in ran(edges)
+    assert edges._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 10
+    assert {tuple(r) for r in edges.collect()} == {("src/a.ts", "src/b.ts"), ("src/b.ts", "lib/c.ts"), ("lib/c.ts", "src/a.ts")}
+
+
+def test_first_strategy_wins(spark):
+    files = spark.createDataFrame([("app/x.cs", "Net.Http"), ("Net/Http.py", None), ("c/Http.go", None)], "path string, module string")
+    imports = spark.createDataFrame([("app/x.cs", n, s) for n, s in enumerate(["Net.Http", "net/none", "z:Http", "Net/Http"])], "path string, ord int, specifier string")
+    imports = imports.select("*", F.lit(None).cast("array<string>").alias("imported_names"), F.lit(False).alias("is_type_only"), F.lit(1).alias("line"))
+    got = {(r["spec"], r["target"], r["prio"]) for r in resolve.resolve_imports(imports, files).collect()}
+    assert got == {("Net.Http", "app/x.cs", 1), ("Net/Http", "Net/Http.py", 3)}
