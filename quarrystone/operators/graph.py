@@ -14,14 +14,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.session import discard, staged
+from quarrystone.session import discard, shuffled, staged
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(path, in_degree, out_degree, degree)`` of every node, 0 where it has no edges."""
-    ends = edges.select(F.col("src").alias("path"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(edges.select("dst", F.lit(0), F.lit(1)))
+    ends = edges.select(F.inline(F.array(*[F.struct(F.col(end).alias("path"), F.lit(o).alias("o"), F.lit(1 - o).alias("i")) for end, o in (("src", 1), ("dst", 0))])))
     counted = ends.groupBy("path").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-    joined = nodes.select("path").distinct().join(counted, "path", "left").na.fill(0, ["in_degree", "out_degree"])
+    joined = nodes.select("path").distinct().join(shuffled(counted), "path", "left").na.fill(0, ["in_degree", "out_degree"])
     return joined.withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import report, resolve
+from quarrystone.operators import graph, rank, report, resolve
 
 
 def ran(df):
@@ -43,3 +43,13 @@ def test_first_strategy_wins(spark):
     imports = imports.select("*", F.lit(None).cast("array<string>").alias("imported_names"), F.lit(False).alias("is_type_only"), F.lit(1).alias("line"))
     got = {(r["spec"], r["target"], r["prio"]) for r in resolve.resolve_imports(imports, files).collect()}
     assert got == {("Net.Http", "app/x.cs", 1), ("Net/Http", "Net/Http.py", 3)}
+
+
+def test_graphs_read_edges_once(spark, files):
+    edges = spark.createDataFrame([("src/a.ts", "src/b.ts"), ("src/b.ts", "lib/c.ts")], "src string, dst string")
+    nodes = files.select("path")
+    scores = nodes.withColumn("score", F.lit(5))
+    for made, leaves in ((graph.degrees(nodes, edges), 2), (graph.orphans(nodes, edges), 2), (rank.expand(scores, edges), 3)):
+        assert "BroadcastHashJoin" not in ran(made)
+        assert made._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= leaves
+    assert {tuple(r) for r in graph.degrees(nodes, edges).collect()} == {("src/a.ts", 0, 1, 1), ("src/b.ts", 1, 1, 2), ("lib/c.ts", 1, 0, 1)}
