@@ -31,8 +31,8 @@ def hotspots(nodes: DataFrame, edges: DataFrame, top: int = 15) -> DataFrame:
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes without an edge."""
-    touched = edges.select(F.col("src").alias("path")).union(edges.select("dst"))
-    return nodes.select("path").distinct().join(touched, "path", "left_anti")
+    touched = edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
+    return nodes.select("path").distinct().join(shuffled(touched), "path", "left_anti")
 
 
 def impact_set(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
