@@ -42,9 +42,9 @@ def impact_set(edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
     frontier = seeds.select(F.col("path").alias("seed"), F.col("path").alias("at")).distinct()
     reached = None
     for step in range(1, depth + 1):
-        found = frontier.join(back, "at").select("seed", "path").distinct()
+        found = frontier.join(shuffled(back), "at").select("seed", "path").distinct()
         if reached is not None:
-            found = found.join(reached, ["seed", "path"], "left_anti")
+            found = found.join(shuffled(reached), ["seed", "path"], "left_anti")
         found = staged(found.withColumn("distance", F.lit(step)), "frontier")
         reached = found if reached is None else reached.unionByName(found)
         if found.isEmpty():
