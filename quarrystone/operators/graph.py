@@ -64,8 +64,8 @@ def hop_counts(edges: DataFrame, start: DataFrame, most: int | None = None) -> D
     frontier, step = reached, 0
     while most is None or step < most:
         step += 1
-        found = frontier.select(F.col("path").alias("src")).join(both, "src").groupBy(F.col("dst").alias("path")).agg(F.min("src").alias("parent"))
-        found = found.join(reached, "path", "left_anti").select("path", F.lit(step).alias("hops"), "parent")
+        found = frontier.select(F.col("path").alias("src")).join(shuffled(both), "src").groupBy(F.col("dst").alias("path")).agg(F.min("src").alias("parent"))
+        found = found.join(shuffled(reached), "path", "left_anti").select("path", F.lit(step).alias("hops"), "parent")
         frontier = staged(found, "hops")
         if frontier.isEmpty():
             break
