@@ -103,25 +103,25 @@ def pagerank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None,
     if total == 0:
         return every.withColumn("rank", F.lit(0.0))
     if seeds is not None:
-        weighted = every.join(seeds.groupBy("path").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("w")), "path", "left")
+        weighted = every.join(shuffled(seeds.groupBy("path").agg(F.sum(F.greatest("weight", F.lit(0.0))).alias("w"))), "path", "left")
         whole = weighted.agg(F.sum("w")).first()[0] or 0.0
     else:
         weighted, whole = every.withColumn("w", F.lit(None).cast("double")), 0.0
     tele = F.coalesce("w", F.lit(0.0)) / whole if whole > 0 else F.lit(1.0 / total)
     steps = edges.select(F.col("src").alias("path"), F.col("dst").alias("to"), F.lit(1.0).alias("x")).union(edges.select("dst", "src", F.lit(backward)))
-    steps = steps.join(every, "path", "left_semi").join(every.withColumnRenamed("path", "to"), "to", "left_semi")
+    steps = steps.join(shuffled(every), "path", "left_semi").join(shuffled(every.withColumnRenamed("path", "to")), "to", "left_semi")
     steps = staged(steps.groupBy("path", "to").agg(F.sum("x").alias("x")), "steps")
     if total <= small and steps.count() <= small:
         parts = weighted.select("path", tele.cast("double").alias("tele"), F.lit(None).cast("string").alias("to"), F.lit(None).cast("double").alias("x")).union(steps.select("path", F.lit(None).cast("double"), "to", F.col("x").cast("double")))
         return parts.repartition(1).mapInArrow(lambda batches: _ranked_at_once(batches, damping, rounds, tolerance), "path string, rank double")
     out = steps.groupBy("path").agg(F.sum("x").alias("out"))
-    state = staged(weighted.withColumn("tele", tele).join(out, "path", "left").select("path", "tele", "out", F.col("tele").alias("rank")), "ranks")
+    state = staged(weighted.withColumn("tele", tele).join(shuffled(out), "path", "left").select("path", "tele", "out", F.col("tele").alias("rank")), "ranks")
     last = state
     for _ in range(rounds):
         loose = state.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        moved = state.where("out is not null").join(steps, "path").groupBy(F.col("to").alias("path")).agg(F.sum(F.col("rank") * F.col("x") / F.col("out")).alias("got"))
+        moved = state.where("out is not null").join(shuffled(steps), "path").groupBy(F.col("to").alias("path")).agg(F.sum(F.col("rank") * F.col("x") / F.col("out")).alias("got"))
         fresh = (F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(loose) * F.col("tele")) + F.lit(1 - damping) * F.col("tele")).alias("rank")
-        following = staged(state.join(moved, "path", "left").select("path", "tele", "out", fresh, F.col("rank").alias("was")), "ranks")
+        following = staged(state.join(shuffled(moved), "path", "left").select("path", "tele", "out", fresh, F.col("rank").alias("was")), "ranks")
         change = following.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0]
         discard(last)
         last, state = following, following.drop("was")
