@@ -156,10 +156,10 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 8) -> Da
     both = staged(edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "both")
     last = state = staged(nodes.select("path", F.col("path").alias("label")).distinct(), "labels")
     for step in range(rounds):
-        votes = both.join(state.select(F.col("path").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("path"), "label").agg(F.count("*").alias("n"))
+        votes = both.join(shuffled(state.select(F.col("path").alias("dst"), "label")), "dst").groupBy(F.col("src").alias("path"), "label").agg(F.count("*").alias("n"))
         best = votes.groupBy("path").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best"))
-        own = votes.join(state, ["path", "label"]).select("path", F.col("n").alias("own"))
-        joined = state.join(best, "path", "left").join(own, "path", "left")
+        own = votes.join(shuffled(state), ["path", "label"]).select("path", F.col("n").alias("own"))
+        joined = state.join(shuffled(best), "path", "left").join(shuffled(own), "path", "left")
         moves = F.col("best").isNotNull() & (-F.col("best.n") > F.coalesce("own", F.lit(0))) & (F.pmod(F.xxhash64("path"), F.lit(2)) == step % 2)
         following = staged(joined.select("path", F.when(moves, F.col("best.label")).otherwise(F.col("label")).alias("label"), moves.alias("moved")), "labels")
         changed = following.where("moved").limit(1).count()
