@@ -191,13 +191,13 @@ def communities(nodes: DataFrame, edges: DataFrame, levels: int = 5, sweeps: int
         improved = False
         for sweep in range(sweeps):
             sums = state.groupBy("c").agg(F.sum("k").alias("total"))
-            near = weights.where("src <> dst").join(state.select(F.col("src").alias("dst"), F.col("c").alias("to")), "dst").groupBy("src", "to").agg(F.sum("w").alias("shared"))
-            joined = near.join(state, "src").join(sums.withColumnRenamed("c", "to"), "to")
+            near = weights.where("src <> dst").join(shuffled(state.select(F.col("src").alias("dst"), F.col("c").alias("to"))), "dst").groupBy("src", "to").agg(F.sum("w").alias("shared"))
+            joined = near.join(shuffled(state), "src").join(shuffled(sums.withColumnRenamed("c", "to")), "to")
             inside = F.col("to") == F.col("c")
             gain = F.col("shared") - F.col("k") * (F.col("total") - F.when(inside, F.col("k")).otherwise(0.0)) / whole
             best = joined.withColumn("gain", gain).groupBy("src").agg(F.min(F.struct((-F.col("gain")).alias("g"), "to")).alias("b"), F.max(F.when(inside, F.col("gain"))).alias("stay"))
-            alone = sums.join(state, "c").select("src", (-(F.col("k") * (F.col("total") - F.col("k"))) / whole).alias("lonely"))
-            decided = state.join(best, "src", "left").join(alone, "src", "left")
+            alone = sums.join(shuffled(state), "c").select("src", (-(F.col("k") * (F.col("total") - F.col("k"))) / whole).alias("lonely"))
+            decided = state.join(shuffled(best), "src", "left").join(shuffled(alone), "src", "left")
             moves = F.col("b").isNotNull() & (-F.col("b.g") > F.coalesce("stay", "lonely") + 1e-12) & (F.pmod(F.xxhash64("src", F.lit(sweep)), F.lit(2)) == 0)
             following = staged(decided.select("src", F.when(moves, F.col("b.to")).otherwise(F.col("c")).alias("c"), "k"), "state")
             after = _modularity(weights, following, whole)
@@ -211,9 +211,9 @@ def communities(nodes: DataFrame, edges: DataFrame, levels: int = 5, sweeps: int
         if not improved:
             break
         least = state.groupBy("c").agg(F.min("src").alias("name"))
-        renamed = staged(state.join(least, "c").select("src", "name"), "renamed")
-        names = staged(names.join(renamed.withColumnRenamed("src", "community"), "community", "left").select("path", F.coalesce("name", "community").alias("community")), "names")
-        grouped = weights.join(renamed.withColumnRenamed("name", "a"), "src").join(renamed.select(F.col("src").alias("dst"), F.col("name").alias("b")), "dst")
+        renamed = staged(state.join(shuffled(least), "c").select("src", "name"), "renamed")
+        names = staged(names.join(shuffled(renamed.withColumnRenamed("src", "community")), "community", "left").select("path", F.coalesce("name", "community").alias("community")), "names")
+        grouped = weights.join(shuffled(renamed.withColumnRenamed("name", "a")), "src").join(shuffled(renamed.select(F.col("src").alias("dst"), F.col("name").alias("b"))), "dst")
         old = weights
         weights = staged(grouped.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")), "weights")
         discard(old)
@@ -221,7 +221,7 @@ def communities(nodes: DataFrame, edges: DataFrame, levels: int = 5, sweeps: int
 
 
 def _modularity(weights: DataFrame, state: DataFrame, whole: float) -> float:
-    labelled = weights.join(state.select("src", F.col("c").alias("a")), "src").join(state.select(F.col("src").alias("dst"), F.col("c").alias("b")), "dst")
+    labelled = weights.join(shuffled(state.select("src", F.col("c").alias("a"))), "src").join(shuffled(state.select(F.col("src").alias("dst"), F.col("c").alias("b"))), "dst")
     inside = labelled.where("a = b").agg(F.sum("w")).first()[0] or 0.0
     square = state.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
     return inside / whole - square / whole**2
@@ -232,4 +232,4 @@ def numbered(labels: DataFrame, label: str = "community") -> DataFrame:
     from quarrystone.operators.rank import ranked
 
     first = labels.groupBy(label).agg(F.min("path").alias("least"))
-    return labels.join(ranked(first, [F.col("least")], label), label).select("path", (F.col("rank") - 1).cast("int").alias("number"))
+    return labels.join(shuffled(ranked(first, [F.col("least")], label)), label).select("path", (F.col("rank") - 1).cast("int").alias("number"))
