@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import paths as P
 from quarrystone.functions import text as T
+from quarrystone.session import shuffled
 
 # Words by which a task asks for tests.
 TEST_WORDS = ["test", "tests", "spec", "fix", "bug", "broken", "failing", "failure"]
@@ -31,7 +32,7 @@ class Hints:
         if self.similar is None:
             return known.withColumn("similarity", F.lit(None).cast("double"))
         similar = self.similar.groupBy("path").agg(F.max("similarity").alias("similarity"))
-        return known.join(similar, "path", "full").na.fill(False, ["active", "opened", "changed"])
+        return known.join(shuffled(similar), "path", "full").na.fill(False, ["active", "opened", "changed"])
 
 
 def task_terms(task: Column) -> Column:
@@ -71,7 +72,7 @@ def score_files(files: DataFrame, imports: DataFrame, symbols: DataFrame, terms:
     base = files.where("path is not null").select("path", own.alias("own"))
     by_import = flags(imports, "path", F.lower("specifier"), 4, "imported")
     by_symbol = flags(symbols, "path", T.squash(F.col("name")), 6, "named")
-    joined = base.join(by_import, "path", "left").join(by_symbol, "path", "left")
+    joined = base.join(shuffled(by_import), "path", "left").join(shuffled(by_symbol), "path", "left")
     return joined.select("path", (F.col("own") + F.coalesce("imported", F.lit(0)) + F.coalesce("named", F.lit(0))).cast("long").alias("score"))
 
 
@@ -87,7 +88,7 @@ def score_symbols(symbols: DataFrame, imports: DataFrame, file_scores: DataFrame
     words = F.lower(F.concat_ws(" ", F.array(F.col("specifier")), "imported_names"))
     hit = [F.max(F.coalesce(words.contains(t), F.lit(False)).cast("int")).alias(f"h{i}") for i, t in enumerate(terms)]
     context = imports.groupBy("path").agg(*hit) if hit else imports.select("path").distinct()
-    joined = rows.join(file_scores.select("path", "score"), "path", "left").join(context, "path", "left")
+    joined = rows.join(shuffled(file_scores.select("path", "score")), "path", "left").join(shuffled(context), "path", "left")
     name, parent = T.squash(F.coalesce("name", F.lit(""))), T.squash(F.coalesce("parent_name", F.lit("")))
     path = T.squash(F.col("path"))
     decorators = F.coalesce(F.transform("decorators", F.lower), F.array().cast("array<string>"))
@@ -104,7 +105,7 @@ def score_symbols(symbols: DataFrame, imports: DataFrame, file_scores: DataFrame
 
 def hint_matches(files: DataFrame, hints: DataFrame) -> DataFrame:
     """``(path, score)``: 1 for every hinted file."""
-    return files.select("path").distinct().join(hints, "path", "left_semi").withColumn("score", F.lit(1).cast("long"))
+    return files.select("path").distinct().join(shuffled(hints), "path", "left_semi").withColumn("score", F.lit(1).cast("long"))
 
 
 def merge_scores(*scores: DataFrame) -> DataFrame:
@@ -117,7 +118,7 @@ def merge_scores(*scores: DataFrame) -> DataFrame:
 
 def boost_by_hints(scores: DataFrame, hints: DataFrame) -> DataFrame:
     """25 for the active file, 12 for open and 30 for changed ones, and up to 40 by similarity."""
-    joined = scores.join(hints, "path", "left")
+    joined = scores.join(shuffled(hints), "path", "left")
     extra = F.when(F.col("active"), 25).otherwise(0) + F.when(F.col("opened"), 12).otherwise(0) + F.when(F.col("changed"), 30).otherwise(0) + F.coalesce(T.half_up(F.col("similarity") * 40), F.lit(0))
     return joined.select("path", (F.col("score") + extra).alias("score"))
 

@@ -12,7 +12,7 @@ from quarrystone.functions import text as T
 from quarrystone.operators import budget, chunks, classify, extract, graph, metrics, rank, report, resolve, retrieve, search, snapshots
 from quarrystone.plans.sql import SQL as SQL
 from quarrystone.plans.sql import TASK
-from quarrystone.session import staged
+from quarrystone.session import shuffled, staged
 from quarrystone.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -421,7 +421,8 @@ def related_tests(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def dependency_flow(spark: SparkSession, folder: str) -> DataFrame:
-    return report.dependency_flow(_file_scores(spark, folder).where("score > 0"), _edges(spark, folder))
+    selected = staged(_file_scores(spark, folder).where("score > 0").select("path"), "selected")
+    return report.dependency_flow(selected, _edges(spark, folder))
 
 
 @query
