@@ -125,9 +125,9 @@ def boost_by_hints(scores: DataFrame, hints: DataFrame) -> DataFrame:
 
 def boost_by_neighbours(scores: DataFrame, edges: DataFrame, matched: DataFrame, tests: bool) -> DataFrame:
     """7 for files that import a matched one, 7 for files that one imports, 45 for test files if the task wants tests."""
-    importing = edges.join(matched.select(F.col("path").alias("dst")), "dst", "left_semi").select(F.col("src").alias("path")).distinct().withColumn("i", F.lit(7))
-    imported = edges.join(matched.select(F.col("path").alias("src")), "src", "left_semi").select(F.col("dst").alias("path")).distinct().withColumn("o", F.lit(7))
-    joined = scores.join(importing, "path", "left").join(imported, "path", "left")
+    importing = edges.join(shuffled(matched.select(F.col("path").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("path")).distinct().withColumn("i", F.lit(7))
+    imported = edges.join(shuffled(matched.select(F.col("path").alias("src"))), "src", "left_semi").select(F.col("dst").alias("path")).distinct().withColumn("o", F.lit(7))
+    joined = scores.join(shuffled(importing), "path", "left").join(shuffled(imported), "path", "left")
     extra = F.coalesce("i", F.lit(0)) + F.coalesce("o", F.lit(0)) + (F.when(P.is_test(F.col("path")), 45).otherwise(0) if tests else F.lit(0))
     return joined.select("path", (F.col("score") + extra).alias("score"))
 

@@ -192,7 +192,7 @@ def hint_boosts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def neighbour_boosts(spark: SparkSession, folder: str) -> DataFrame:
-    scores = _file_scores(spark, folder)
+    scores = staged(_file_scores(spark, folder), "scores")
     return rank.boost_by_neighbours(scores, staged(_edges(spark, folder), "edges"), scores.where("score >= 10"), True)
 
 
