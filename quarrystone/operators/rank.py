@@ -162,7 +162,7 @@ def scaled(rows: DataFrame, value: str) -> DataFrame:
 
 def expand(scores: DataFrame, edges: DataFrame) -> DataFrame:
     """Neighbours of a scored file, either way, get 3 less than it (1 at least) where that is more than they have."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
-    offered = scores.select(F.col("path").alias("src"), "score").join(both, "src").groupBy(F.col("dst").alias("path")).agg(F.greatest(F.lit(1), F.max("score") - 3).alias("offer"))
-    joined = scores.join(offered, "path", "full")
+    both = edges.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
+    offered = scores.select(F.col("path").alias("src"), "score").join(shuffled(both), "src").groupBy(F.col("dst").alias("path")).agg(F.greatest(F.lit(1), F.max("score") - 3).alias("offer"))
+    joined = scores.join(shuffled(offered), "path", "full")
     return joined.select("path", F.greatest("score", "offer").alias("score"))

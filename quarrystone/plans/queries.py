@@ -198,7 +198,7 @@ def neighbour_boosts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def expand_one_hop(spark: SparkSession, folder: str) -> DataFrame:
-    return rank.expand(_file_scores(spark, folder).where("score > 0"), _edges(spark, folder))
+    return rank.expand(staged(_file_scores(spark, folder).where("score > 0"), "scores"), _edges(spark, folder))
 
 
 @query
