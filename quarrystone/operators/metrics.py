@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text as T
+from quarrystone.session import shuffled
 
 # Words that a baseline search leaves out.
 STOP_WORDS = [
@@ -88,7 +89,7 @@ def naive_baseline(calls: DataFrame, sizes: DataFrame, extra: int = 600) -> Data
     """``(call_id, bytes)``: the whole size of the files that a call included (0 for unknown ones), and ``extra``."""
     spread = calls.select("call_id", F.explode_outer("files").alias("path"))
     known = sizes.groupBy("path").agg(F.max("bytes").alias("bytes"))
-    return spread.join(known, "path", "left").groupBy("call_id").agg((F.coalesce(F.sum("bytes"), F.lit(0)) + extra).alias("bytes"))
+    return spread.join(shuffled(known), "path", "left").groupBy("call_id").agg((F.coalesce(F.sum("bytes"), F.lit(0)) + extra).alias("bytes"))
 
 
 def answers(answer: str, path: str, facts: str) -> tuple[Column, Column]:
