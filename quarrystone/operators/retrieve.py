@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import text as T
 from quarrystone.operators import graph, rank, report
-from quarrystone.session import staged
+from quarrystone.session import shuffled, staged
 
 
 @dataclass
@@ -49,7 +49,7 @@ def rank_files(index: Index, task: str, hints: rank.Hints = rank.Hints(), rounds
     fused = rank.scaled(rank.fuse(rankings), "score").withColumnRenamed("score", "fused")
     boosted = rank.boost_by_neighbours(base, index.edges, matched, bool(set(terms) & set(rank.TEST_WORDS)))
     nudge = F.when((F.col("score") > 0) & (F.col("fused") >= 0.05), T.half_up(F.col("fused") * 8)).otherwise(0)
-    nudged = boosted.join(fused, "path", "left").select("path", (F.col("score") + F.coalesce(nudge, F.lit(0))).alias("score")).where("score > 0")
+    nudged = boosted.join(shuffled(fused), "path", "left").select("path", (F.col("score") + F.coalesce(nudge, F.lit(0))).alias("score")).where("score > 0")
     return rank.boost_by_hints(nudged, table)
 
 
@@ -59,5 +59,5 @@ def retrieve(index: Index, task: str, hints: rank.Hints = rank.Hints(), files: i
     squashed = spark.range(1).select(T.squash(F.lit(task))).first()[0]
     scores = staged(rank_files(index, task, hints), "ranked")
     chosen = staged(rank.top_files(rank.expand(scores, index.edges), files), "chosen")
-    named = rank.score_symbols(index.symbols.join(scores, "path", "left_semi"), index.imports, scores, terms, squashed)
+    named = rank.score_symbols(index.symbols.join(shuffled(scores), "path", "left_semi"), index.imports, scores, terms, squashed)
     return Retrieval(chosen.orderBy(F.desc("score"), "path"), named.where("score > 0").orderBy(F.desc("score"), "name", "path", "id").limit(symbols), report.dependency_flow(chosen, index.edges), report.related_tests(index.files, index.symbols, chosen, terms))
