@@ -431,7 +431,7 @@ def viewer_graph(spark: SparkSession, folder: str) -> DataFrame:
     nodes = table(spark, folder, "files").where(F.col("path").contains("session")).select("path")
     inside = report.dependency_flow(nodes, _edges(spark, folder))
     counted = _symbols(spark, folder).groupBy("path").agg(F.count_distinct("id").alias("symbols"))
-    return graph.degrees(nodes, inside).join(counted, "path", "left").na.fill(0, ["symbols"])
+    return graph.degrees(nodes, inside).join(shuffled(counted), "path", "left").na.fill(0, ["symbols"])
 
 
 @query
