@@ -11,6 +11,7 @@ from quarrystone.functions import text as T
 from quarrystone.operators import context, graph, metrics, report, resolve, semantic
 from quarrystone.plans.queries import _edges, _file_scores, _symbols, query, table
 from quarrystone.plans.sql import COSTS, DEGREES, REFS, RESOLVED, SCORES, SQL, is_test
+from quarrystone.session import staged
 
 FILES = [
     ("app/main.ts", None), ("app/util/strings.ts", None), ("app/util/index.ts", None), ("app/deep/one/two.tsx", None),
@@ -158,7 +159,7 @@ def hub_flags(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def nodes_around(spark: SparkSession, folder: str) -> DataFrame:
     """Connected nodes whose path contains a text, with their neighbourhood."""
-    return report.matching_nodes(table(spark, folder, "files").where("path is not null"), _edges(spark, folder), "session", connected=True, around=True)
+    return report.matching_nodes(table(spark, folder, "files").where("path is not null"), staged(_edges(spark, folder), "edges"), "session", connected=True, around=True)
 
 
 @query
