@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.session import discard, staged
+from quarrystone.session import discard, shuffled, staged
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -31,11 +31,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # large star: every larger neighbour of u, onto the smallest of u and its neighbours
         both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(shuffled(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: every smaller neighbour of u and u itself, onto the smallest of them
         large = staged(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(shuffled(least), "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         last, current = current, staged(small.select("v", "u"), "edges")
         discard(last, large)
@@ -45,4 +45,4 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return nodes.select(F.col("u").alias("node")).join(current.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+    return nodes.select(F.col("u").alias("node")).join(shuffled(current.select(F.col("u").alias("node"), "v")), "node", "left").select("node", F.coalesce("v", "node").alias("component"))

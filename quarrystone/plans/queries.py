@@ -170,7 +170,7 @@ def repo_communities(spark: SparkSession, folder: str) -> DataFrame:
 def connected_parts(spark: SparkSession, folder: str) -> DataFrame:
     from quarrystone.operators.components import connected_components
 
-    return connected_components(_edges(spark, folder))
+    return connected_components(staged(_edges(spark, folder), "edges"))
 
 
 @query
