@@ -53,3 +53,10 @@ def test_graphs_read_edges_once(spark, files):
         assert "BroadcastHashJoin" not in ran(made)
         assert made._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= leaves
     assert {tuple(r) for r in graph.degrees(nodes, edges).collect()} == {("src/a.ts", 0, 1, 1), ("src/b.ts", 1, 1, 2), ("lib/c.ts", 1, 0, 1)}
+
+
+def test_hubs_count_degrees_once(spark, files):
+    edges = spark.createDataFrame([("src/a.ts", "src/b.ts"), ("src/b.ts", "lib/c.ts")], "src string, dst string")
+    made = report.with_hubs(graph.degrees(files.select("path"), edges), 1)
+    assert made._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    assert {(r["path"], r["hub"]) for r in made.collect()} == {("src/a.ts", False), ("src/b.ts", True), ("lib/c.ts", False)}
