@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import text as T
 from quarrystone.operators.retrieve import Index, Retrieval
-from quarrystone.session import staged
+from quarrystone.session import shuffled, staged
 
 SECTIONS = ("files", "symbols", "flow", "tests", "snippets")
 NO_REASON = "related by code graph retrieval"
@@ -68,7 +68,7 @@ def merged_reasons(rows: DataFrame, key: str = "path") -> DataFrame:
 def flow_lines(selected: DataFrame, edges: DataFrame, order: str = "ord") -> DataFrame:
     """``(ord, item)``: "a -> b" for edges with both ends selected, in the order of the selected files."""
     chosen = selected.select("path", order)
-    inside = edges.select("src", "dst").distinct().join(chosen.select(F.col("path").alias("src"), F.col(order).alias("a")), "src").join(chosen.select(F.col("path").alias("dst"), F.col(order).alias("b")), "dst")
+    inside = edges.select("src", "dst").distinct().join(shuffled(chosen.select(F.col("path").alias("src"), F.col(order).alias("a"))), "src").join(shuffled(chosen.select(F.col("path").alias("dst"), F.col(order).alias("b"))), "dst")
     return inside.select((F.col("a") * F.lit(1_000_000) + F.col("b")).cast("long").alias("ord"), F.concat("src", F.lit(" -> "), "dst").alias("item"))
 
 
