@@ -104,22 +104,17 @@ def _base_names(specs: DataFrame, files: DataFrame) -> DataFrame:
     return asked.join(shuffled(single), "name").select("spec", F.lit(9).alias("prio"), "target")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """``(path, ord, spec, imported_names, line, target, prio)``: every import with each file that it resolves to.
-
-    A specifier that starts with a dot is a path beside the file (prio 0). Another one is, in this order, a module (1)
-    or the parent of a type in it (2), a workspace package (3), a path or the end of one (4, 5), a dotted path (6, 7),
-    a directory of which all files count (8), or a base name that only one file has (9); the first that finds something
-    wins. Among files that fit alike the smallest path wins. Imports without a path or specifier, and repeated rows,
-    add nothing; an import may resolve to its own file.
+def _found(imports: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Imports, the file that each specifier with a dot in front reaches, ``(path, spec, target)``, and those that each
+    other one reaches, ``(spec, target, prio)``; all are staged.
 
-    Files, imports and what each strategy finds are staged, and a strategy is asked only for the specifiers that none
-    before it has found: one plan of them all, again wherever edges are read, is more than a driver can hold.
+    A strategy is asked only for the specifiers that none before it has found: one plan of them all, again wherever edges
+    are read, is more than a driver can hold.
     """
     files = staged(files.select("path", "module").where("path is not null").dropDuplicates(["path"]), "files")
     known = files.select(F.col("path").alias("target"))
     rows = staged(import_rows(imports), "imports")
-    near = rows.join(shuffled(staged(_relative(rows, known), "beside")), ["path", "spec"]).withColumn("prio", F.lit(0))
+    beside = staged(_relative(rows, known), "beside")
     strategies = [
         lambda specs: _namespaces(specs, files),
         lambda specs: _packages(specs, files),
@@ -135,10 +130,37 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
         found = strategy(specs).withColumn("least", F.min("prio").over(Window.partitionBy("spec"))).where("prio = least").select("spec", "target", "prio").distinct()
         found = staged(found, "found")
         best = found if best is None else best.union(found)
+    return rows, beside, best
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``(path, ord, spec, imported_names, line, target, prio)``: every import with each file that it resolves to.
+
+    A specifier that starts with a dot is a path beside the file (prio 0). Another one is, in this order, a module (1)
+    or the parent of a type in it (2), a workspace package (3), a path or the end of one (4, 5), a dotted path (6, 7),
+    a directory of which all files count (8), or a base name that only one file has (9); the first that finds something
+    wins. Among files that fit alike the smallest path wins. Imports without a path or specifier, and repeated rows,
+    add nothing; an import may resolve to its own file.
+    """
+    rows, beside, best = _found(imports, files)
+    near = rows.join(shuffled(beside), ["path", "spec"]).withColumn("prio", F.lit(0))
     columns = ["path", "ord", "spec", "imported_names", "line", "target", "prio"]
     return near.select(columns).union(rows.join(shuffled(best), "spec").select(columns))
 
 
+def resolution_steps(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``(prio, links, specifiers)``: rows of ``resolve_imports`` by strategy, and their different specifiers.
+
+    A directory's files times the imports of it are many links, so they are multiplied for each specifier, not listed.
+    """
+    rows, beside, best = _found(imports, files)
+    near = rows.join(shuffled(beside), ["path", "spec"]).groupBy("spec").agg(F.count("*").alias("links")).withColumn("prio", F.lit(0))
+    reached = best.groupBy("spec", "prio").agg(F.count("*").alias("files"))
+    far = rows.groupBy("spec").agg(F.count("*").alias("n")).join(shuffled(reached), "spec").withColumn("links", F.col("n") * F.col("files"))
+    columns = ["prio", "spec", "links"]
+    return near.select(columns).union(far.select(columns)).groupBy("prio").agg(F.sum("links").alias("links"), F.count("*").alias("specifiers"))
+
+
 def file_edges(resolved: DataFrame) -> DataFrame:
     """Different ``(src, dst)`` with two different files."""
     return resolved.where("path <> target").select(F.col("path").alias("src"), F.col("target").alias("dst")).distinct()

@@ -97,7 +97,7 @@ def file_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def resolution_steps(spark: SparkSession, folder: str) -> DataFrame:
-    return _resolved(spark, folder).groupBy("prio").agg(F.count("*").alias("links"), F.count_distinct("spec").alias("specifiers"))
+    return resolve.resolution_steps(table(spark, folder, "imports"), table(spark, folder, "files"))
 
 
 @query

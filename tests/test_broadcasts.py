@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.operators import graph, rank, report, resolve
+from quarrystone.plans import queries
 
 
 def ran(df):
@@ -60,3 +61,34 @@ def test_hubs_count_degrees_once(spark, files):
     made = report.with_hubs(graph.degrees(files.select("path"), edges), 1)
     assert made._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
     assert {(r["path"], r["hub"]) for r in made.collect()} == {("src/a.ts", False), ("src/b.ts", True), ("lib/c.ts", False)}
+
+
+def most_rows(df):
+    """The most rows that a node of the plan gave as it ran."""
+    df.collect()
+
+    def walk(node):
+        inner = [node.executedPlan()] if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else [node.plan()] if node.getClass().getSimpleName().endswith("QueryStageExec") else []
+        found = node.metrics().get("numOutputRows")
+        return max([found.get().value() if found.isDefined() else 0, *(walk(x) for x in inner), *(walk(node.children().apply(i)) for i in range(node.children().size()))])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.fixture(scope="module")
+def fan_out(spark, tmp_path_factory):
+    """A directory of 20 files that 30 files import, 600 links, of which one file exports what is asked for; and a file beside one."""
+    folder = tmp_path_factory.mktemp("fan_out")
+    paths = [f"lib/api/x{n}.go" for n in range(20)] + [f"app/y{n}.go" for n in range(30)]
+    spark.createDataFrame([(p, None) for p in paths], "path string, module string").write.parquet(f"{folder}/files.parquet")
+    rows = [(p, 0, "host/lib/api", ["Get", f"Own{n}"], False, 1) for n, p in enumerate(paths[20:])] + [("app/y0.go", 1, "./y1.go", ["Get"], False, 2)]
+    spark.createDataFrame(rows * 2, "path string, ord int, specifier string, imported_names array<string>, is_type_only boolean, line int").write.parquet(f"{folder}/imports.parquet")
+    made = [("1", "lib/api/x3.go", "Get", True), ("1", "lib/api/x3.go", "Get", True), ("2", "app/y1.go", "Get", True), ("3", "lib/api/x4.go", "Get", False), (None, "lib/api/x4.go", None, True)]
+    spark.createDataFrame(made, "id string, path string, name string, exported boolean").write.parquet(f"{folder}/symbols.parquet")
+    return str(folder)
+
+
+def test_resolution_steps_list_no_links(spark, fan_out):
+    made = queries.QUERIES["resolution_steps"](spark, fan_out)
+    assert most_rows(made) < 100
+    assert {tuple(r) for r in made.collect()} == {(8, 600, 1), (0, 1, 1)}
