@@ -166,13 +166,34 @@ def file_edges(resolved: DataFrame) -> DataFrame:
     return resolved.where("path <> target").select(F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
 
 
+def _exports(symbols: DataFrame) -> DataFrame:
+    return symbols.where("exported and name is not null").select(F.col("path").alias("target"), F.col("name").alias("symbol_name")).distinct()
+
+
 def symbol_references(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
     """``(from_path, to_path, symbol_name, line)``: imported names that the file resolved to exports."""
-    exported = symbols.where("exported and name is not null").select(F.col("path").alias("target"), F.col("name").alias("symbol_name")).distinct()
+    exported = _exports(symbols)
     named = resolved.where("path <> target").select("path", "ord", "line", "target", F.explode("imported_names").alias("symbol_name"))
     return named.join(shuffled(exported), ["target", "symbol_name"]).select(F.col("path").alias("from_path"), F.col("target").alias("to_path"), "symbol_name", "line", "ord")
 
 
+def references(imports: DataFrame, files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``symbol_references`` of ``resolve_imports``, without listing every link.
+
+    Names that no file exports are dropped first, and different names of a specifier are held against its files' exports
+    once; only what is found there is joined with the imports.
+    """
+    rows, beside, best = _found(imports, files)
+    exported = staged(_exports(symbols), "exports")
+    named = rows.select("path", "ord", "line", "spec", F.explode("imported_names").alias("symbol_name"))
+    named = staged(named.join(shuffled(exported.select("symbol_name").distinct()), "symbol_name", "left_semi"), "named")
+    near = named.join(shuffled(beside), ["path", "spec"]).join(shuffled(exported), ["target", "symbol_name"])
+    hits = best.join(shuffled(named.select("spec", "symbol_name").distinct()), "spec").join(shuffled(exported), ["target", "symbol_name"])
+    far = named.join(shuffled(hits), ["spec", "symbol_name"])
+    columns = [F.col("path").alias("from_path"), F.col("target").alias("to_path"), "symbol_name", "line", "ord"]
+    return near.where("path <> target").select(columns).union(far.where("path <> target").select(columns))
+
+
 def usage_counts(references: DataFrame) -> DataFrame:
     """``(defined_in, symbol_name, referenced_by)``: files that use a symbol."""
     return references.groupBy(F.col("to_path").alias("defined_in"), "symbol_name").agg(F.count_distinct("from_path").alias("referenced_by"))

@@ -90,6 +90,10 @@ def normal_paths(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "file_snapshots").where("path is not null").select(snapshots.normal_path(F.col("path")).alias("path"), snapshots.normal_hash(F.col("content_hash")).alias("hash")).distinct()
 
 
+def _references(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve.references(table(spark, folder, "imports"), table(spark, folder, "files"), table(spark, folder, "symbols"))
+
+
 @query
 def file_edges(spark: SparkSession, folder: str) -> DataFrame:
     return _edges(spark, folder)
@@ -107,7 +111,7 @@ def symbol_references(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def usage_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return resolve.usage_counts(resolve.symbol_references(_resolved(spark, folder), table(spark, folder, "symbols")))
+    return resolve.usage_counts(_references(spark, folder))
 
 
 @query

@@ -92,3 +92,12 @@ def test_resolution_steps_list_no_links(spark, fan_out):
     made = queries.QUERIES["resolution_steps"](spark, fan_out)
     assert most_rows(made) < 100
     assert {tuple(r) for r in made.collect()} == {(8, 600, 1), (0, 1, 1)}
+
+
+def test_usage_counts_list_no_links(spark, fan_out):
+    made = queries.QUERIES["usage_counts"](spark, fan_out)
+    assert most_rows(made) < 100
+    assert {tuple(r) for r in made.collect()} == {("lib/api/x3.go", "Get", 30), ("app/y1.go", "Get", 1)}
+    read = [spark.read.parquet(f"{fan_out}/{t}.parquet") for t in ("imports", "files", "symbols")]
+    listed = resolve.symbol_references(resolve.resolve_imports(*read[:2]), read[2])
+    assert sorted(map(tuple, resolve.references(*read).collect())) == sorted(map(tuple, listed.collect()))
