@@ -116,7 +116,7 @@ def usage_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def references_by_definition(spark: SparkSession, folder: str) -> DataFrame:
-    refs = resolve.symbol_references(_resolved(spark, folder), table(spark, folder, "symbols"))
+    refs = _references(spark, folder)
     return refs.groupBy("symbol_name").agg(F.count_distinct("to_path").alias("definitions"), F.count_distinct("from_path").alias("users"), F.min("from_path").alias("first_user"))
 
 

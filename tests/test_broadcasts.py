@@ -101,3 +101,9 @@ def test_usage_counts_list_no_links(spark, fan_out):
     read = [spark.read.parquet(f"{fan_out}/{t}.parquet") for t in ("imports", "files", "symbols")]
     listed = resolve.symbol_references(resolve.resolve_imports(*read[:2]), read[2])
     assert sorted(map(tuple, resolve.references(*read).collect())) == sorted(map(tuple, listed.collect()))
+
+
+def test_references_by_definition_list_no_links(spark, fan_out):
+    made = queries.QUERIES["references_by_definition"](spark, fan_out)
+    assert most_rows(made) < 100
+    assert {tuple(r) for r in made.collect()} == {("Get", 2, 30, "app/y0.go")}
