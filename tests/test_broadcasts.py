@@ -107,3 +107,10 @@ def test_references_by_definition_list_no_links(spark, fan_out):
     made = queries.QUERIES["references_by_definition"](spark, fan_out)
     assert most_rows(made) < 100
     assert {tuple(r) for r in made.collect()} == {("Get", 2, 30, "app/y0.go")}
+
+
+def test_index_summary_broadcasts_only_single_rows(spark, fan_out):
+    made = queries.QUERIES["index_summary"](spark, fan_out)
+    assert "BroadcastHashJoin" not in ran(made)
+    assert made._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 10
+    assert [tuple(r) for r in made.collect()] == [(50, 3, 601)]
