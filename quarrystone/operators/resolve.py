@@ -166,6 +166,48 @@ def file_edges(resolved: DataFrame) -> DataFrame:
     return resolved.where("path <> target").select(F.col("path").alias("src"), F.col("target").alias("dst")).distinct()
 
 
+def count_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """``(edges)``, rows of which the sum is that of ``file_edges`` of ``resolve_imports``, without listing every link.
+
+    Specifiers that reach all files of a module, those of it with a type's name, or a directory share one set of files.
+    A file has one module and one directory, and the sets of types lie within those of modules; so what a file imports
+    is the sum of its modules and types, and of its directories, less what each two of these share, and less itself.
+    Files that are reached alone are listed, at most one for each import, and count unless such a set holds them.
+    """
+    rows, beside, best = _found(imports, files)
+    module = F.regexp_extract("spec", r"^(.+)\.[^.]*$", 1)
+    typed = (F.col("prio") == 2) & (P.stem(F.col("target")) == F.substring_index("spec", ".", -1))
+    kind = F.when(typed, "type").when(F.col("prio") <= 2, "module").when(F.col("prio") == 8, "directory").otherwise("file")
+    key = F.when(typed | (F.col("prio") == 1), F.col("spec")).when(F.col("prio") == 2, module).when(F.col("prio") == 8, P.dirname(F.col("target"))).otherwise(F.col("target"))
+    sets = best.select("spec", kind.alias("kind"), key.alias("key"), "target")
+    asked = rows.select("path", "spec").distinct().join(shuffled(sets.select("spec", "kind", "key").distinct()), "spec").select("path", "kind", "key").distinct()
+    asked = staged(asked, "asked")
+    alone = asked.where("kind = 'file'").select("path", F.col("key").alias("target")).union(rows.join(shuffled(beside), ["path", "spec"]).select("path", "target"))
+    members = staged(sets.where("kind <> 'file'").select("kind", "key", "target").distinct(), "members")
+    inside = F.when(F.col("kind") == "module", F.col("key")).when(F.col("kind") == "type", F.regexp_extract("key", r"^(.+)\.[^.]*$", 1))
+    whole = F.max(F.col("kind") == "module").over(Window.partitionBy("path", "inside"))
+    many = asked.where("kind <> 'file'").withColumn("inside", inside).withColumn("whole", whole).where("kind <> 'type' or not whole").select("path", "kind", "key")
+    many = staged(many, "many")
+    sizes = members.groupBy("kind", "key").agg(F.count("*").alias("n"))
+    directories = F.col("kind") == "directory"
+    shared = members.where(~directories).join(shuffled(members.where(directories).select("target", F.col("key").alias("dir"))), "target").groupBy("kind", "key", "dir").agg(F.count("*").alias("n"))
+    pairs = many.where(~directories).join(shuffled(many.where(directories).select("path", F.col("key").alias("dir"))), "path")
+    own = many.join(shuffled(members.withColumnRenamed("target", "path")), ["path", "kind", "key"]).select("path").distinct()
+    held = alone.join(shuffled(members), "target").join(shuffled(many), ["path", "kind", "key"], "left_semi").select("path", "target")
+    parts = [
+        many.join(shuffled(sizes), ["kind", "key"]).agg(F.sum("n").alias("edges")),
+        pairs.join(shuffled(shared), ["kind", "key", "dir"]).agg((-F.sum("n")).alias("edges")),
+        own.agg((-F.count("*")).alias("edges")),
+        alone.where("path <> target").distinct().join(shuffled(held.distinct()), ["path", "target"], "left_anti").agg(F.count("*").alias("edges")),
+    ]
+    made = None
+    for part in parts:
+        counted = staged(part, "part")
+        made = counted if made is None else made.union(counted)
+    discard(asked, members, many)
+    return made
+
+
 def _exports(symbols: DataFrame) -> DataFrame:
     return symbols.where("exported and name is not null").select(F.col("path").alias("target"), F.col("name").alias("symbol_name")).distinct()
 

@@ -442,7 +442,9 @@ def viewer_graph(spark: SparkSession, folder: str) -> DataFrame:
 def index_summary(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "files").agg(F.count_distinct("path").alias("files"))
     symbols = table(spark, folder, "symbols").agg(F.count_distinct("id").alias("symbols"))
-    return files.crossJoin(symbols).crossJoin(_edges(spark, folder).agg(F.count("*").alias("edges")))
+    edges = resolve.count_edges(table(spark, folder, "imports"), table(spark, folder, "files"))
+    counts = files.unionByName(symbols, allowMissingColumns=True).unionByName(edges, allowMissingColumns=True)
+    return counts.agg(*[F.sum(c).alias(c) for c in ("files", "symbols", "edges")])
 
 
 @query

@@ -1,5 +1,7 @@
 """Joins of tables that grow aren't broadcast, however small they look, and plans stay small."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +116,27 @@ def test_index_summary_broadcasts_only_single_rows(spark, fan_out):
     assert "BroadcastHashJoin" not in ran(made)
     assert made._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 10
     assert [tuple(r) for r in made.collect()] == [(50, 3, 601)]
+
+
+def test_index_summary_lists_no_links_and_broadcasts_nothing(spark, fan_out):
+    made = queries.QUERIES["index_summary"](spark, fan_out)
+    assert most_rows(made) < 100
+    assert "Broadcast" not in ran(made)
+    assert [tuple(r) for r in made.collect()] == [(50, 3, 601)]
+
+
+def test_count_edges_of_sets_that_overlap(spark):
+    """Modules across directories, types in them, directories and single files, asked together, also by their own members."""
+    pick = random.Random(5)
+    paths = [f"{d}/{s}{n}.{e}" for d in ("app", "lib/api", "lib/core") for n, (s, e) in enumerate([("Http", "cs"), ("Http", "go"), ("Pool", "cs"), ("Log", "py"), ("Log", "ts")])]
+    paths += ["lib/api/Type.cs", "lib/core/Type.cs", "lib/api/Only.cs", "None.py"]
+    files = [(p, pick.choice(["Net", "Net.Io", "Net", None, ""])) for p in paths] + [(None, "Net")]
+    specs = ["Net", "Net.Io", "Net.Type", "Net.Other", "Net.Io.Type", "Net.Io.Only", "Net.Io.None", "host/lib/api", "x/lib/core", "host/app", "z:Only", "lib/api/Only", "app/Http0", "./Log3", "./Type", "../api/Only", "gone", " ", None]
+    rows = [(p, n, pick.choice(specs)) for p in paths + [None, "away/x.cs"] for n in range(6)]
+    files = spark.createDataFrame(files, "path string, module string")
+    imports = spark.createDataFrame(rows * 2, "path string, ord int, specifier string")
+    imports = imports.select("*", F.lit(None).cast("array<string>").alias("imported_names"), F.lit(False).alias("is_type_only"), F.lit(1).alias("line"))
+    resolved = resolve.resolve_imports(imports, files)
+    assert {1, 2, 8} < {r["prio"] for r in resolved.select("prio").distinct().collect()}
+    assert resolve.count_edges(imports, files).agg(F.sum("edges")).first()[0] == resolve.file_edges(resolved).count()
+    assert resolve.count_edges(imports.limit(0), files).agg(F.sum("edges")).first()[0] in (0, None)
